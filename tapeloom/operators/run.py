@@ -57,7 +57,11 @@ class ScriptResult:
     @cached_property
     def declared(self) -> dict:
         """The result of the declaration pass: metadata, inputs and the records with empty values."""
-        return run_tape(self.source, tape([]), self.options)
+        out = run_tape(self.source, tape([]), self.options)
+        if out["error"] is not None:  # it may need a bar, say to index an array
+            one = run_tape(self.source, tape([{"date": 0, "open": 1, "high": 1, "low": 1, "close": 1, "volume": 1}]), self.options)
+            out = one if one["error"] is None else out
+        return out
 
     @cached_property
     def columns(self) -> list:

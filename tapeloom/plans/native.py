@@ -186,7 +186,8 @@ def correlation(f: Frame, a: Column, b: Column, p: int) -> Column:
     both = f.stage(a.isNotNull() & b.isNotNull())
     a, b = f.stage(F.when(both & finite(a) & finite(b), a)), f.stage(F.when(both & finite(a) & finite(b), b))
     varied = (F.max(a).over(f.last(p)) > F.min(a).over(f.last(p))) & (F.max(b).over(f.last(p)) > F.min(b).over(f.last(p)))
-    return full(f, F.when(varied, fx.clean(F.corr(a, b).over(f.last(p)))), a, p)
+    joint, sides = F.covar_pop(a, b).over(f.last(p)), F.stddev_pop(a).over(f.last(p)) * F.stddev_pop(b).over(f.last(p))
+    return full(f, F.when(varied, fx.clean(F.try_divide(joint, sides))), a, p)
 
 
 def percentile(f: Frame, s: Column, p: int, q: float) -> Column:
