@@ -73,6 +73,20 @@ def bucket(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
 
 
+GATE = 1 << 20
+
+
+def gated(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows whose binary `key` may be in ids (all that are, and few others while ids are fewer than GATE).
+
+    What is broadcast are at most GATE numbers, whatever the size of ids; the exact join that follows then
+    shuffles little more than it keeps.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(GATE))
+    cells = ids.select(cell.alias("_cell")).distinct()
+    return rows.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (u, v): one row (node, root) per node, root the least node reachable.
 

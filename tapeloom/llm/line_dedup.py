@@ -21,9 +21,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import components, stored, table, text_key
+from tapeloom.llm._shared import components, gated, stored, table, text_key
 
-EDITS, LEAST, GATE = 2, 32, 1 << 20
+EDITS, LEAST = 2, 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -101,11 +101,10 @@ def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     filed = cells.where("own").select("key", F.col("h").alias("a"))
     pairs = filed.hint("shuffle_hash").join(cells.select("key", F.col("h").alias("b")), "key").where("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # texts of the lines that met: a gate of at most GATE numbers is broadcast, the rest is an ordinary join
+    # the texts of the lines that met
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    gate = ids.select(F.pmod("h", F.lit(GATE)).alias("gate")).distinct()
-    texts = lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line")).withColumn("gate", F.pmod("h", F.lit(GATE)))
-    texts = texts.join(F.broadcast(gate), "gate", "left_semi").join(ids, "h", "left_semi").select("h", "line").distinct()
+    texts = lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    texts = gated(texts, "h", ids).join(ids, "h", "left_semi").select("h", "line").distinct()
     texts = stored(texts)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return both.where(within(F.col("x"), F.col("y"), edits)).select(text_key(F.col("x")).alias("u"), text_key(F.col("y")).alias("v"))
