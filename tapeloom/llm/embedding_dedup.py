@@ -151,11 +151,11 @@ def links(vectors: DataFrame, cosine: float = COSINE, hits: float = HITS, load:
     largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     size = max(2, math.ceil((max(largest, 1) * hits / load) ** (1 / parts)))
     made = stored(nodes.mapInPandas(_filtered(kind, parts, size, hits, LEAST), "node binary, label long, copies long, vector binary, filters array<long>"))
-    each = made.withColumn("filter", F.explode("filters"))
-    held = each.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    each = each.join(held, ["label", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = made.withColumn("filter", F.explode("filters")).withColumn("bytes", F.octet_length("vector"))
+    held = each.groupBy("label", "bytes", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    each = each.join(held, ["label", "bytes", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    part = each.groupBy("label", "filter", "i", "j").applyInPandas(_linked(kind, cosine), "node binary, links long, hub binary")
+    part = each.groupBy("label", "bytes", "filter", "i", "j").applyInPandas(_linked(kind, cosine), "node binary, links long, hub binary")
     part = stored(part)
     count = part.groupBy("node").agg(F.sum("links").alias("links"))
     count = nodes.select("node", "copies").join(count, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -119,7 +119,14 @@ def _hash(s: str) -> int:
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (host, path, parent path, kind, hash): kind 0 a child sequence of an element, 1 a text of a text node."""
+    """Counts of (host, path, ancestors and self, kind, hash): kind 0 a child sequence of an element, 1 a text of a text node."""
+    held: dict[tuple[str, ...], tuple[int, ...]] = {}
+
+    def keys(path: tuple[str, ...]) -> tuple[int, ...]:
+        if path not in held:
+            held[path] = tuple(_key(path[:k]) for k in range(1, len(path) + 1))
+        return held[path]
+
     for d in batches:
         n: Counter = Counter()
         for host, page in zip(d["host"], d["html"]):
@@ -129,35 +136,38 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kids = below.setdefault(path[:k], [])
                     if not kids or kids[-1] != path[k]:
                         kids.append(path[k])
-                n[host, _key(path), _key(path[:-1]), 1, _hash(text)] += 1
+                n[host, keys(path), 1, _hash(text)] += 1
             for path, kids in below.items():
-                n[host, _key(path), _key(path[:-1]), 0, _hash("\2".join(kids))] += 1
-        rows = [(*k, v) for k, v in n.items()]
-        yield pd.DataFrame(rows, columns=["host", "path", "parent", "kind", "hash", "n"])
+                n[host, keys(path), 0, _hash("\2".join(kids))] += 1
+        rows = [(host, up[-1] if up else 0, list(up), kind, h, v) for (host, up, kind, h), v in n.items()]
+        yield pd.DataFrame(rows, columns=["host", "path", "up", "kind", "hash", "n"])
 
 
 def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES) -> DataFrame:
-    """(host, path, importance) of every element path of every host."""
-    seen = pages.select("host", "html").mapInPandas(_observe, "host string, path long, parent long, kind int, hash long, n long")
-    seen = seen.groupBy("host", "path", "parent", "kind", "hash").agg(F.sum("n").alias("n"))
-    seen = stored(seen)
+    """(host, path, importance, most) of every element path of every host that holds text.
+
+    A branch: DAMP parts its own presentation, the rest the mean content of the text nodes in it. A text node: its content.
+    most: the greatest content in it; a branch is noise only if nothing in it is important.
+    """
+    seen = pages.select("host", "html").mapInPandas(_observe, "host string, path long, up array<long>, kind int, hash long, n long")
+    seen = stored(seen.groupBy("host", "path", "up", "kind", "hash").agg(F.sum("n").alias("n")))
 
     def node(rows: DataFrame, *keys: str) -> DataFrame:
+        """Entropy of what a node shows, 0 (always the same) to 1 (always new), and how often it is seen."""
         c = rows.groupBy(*keys).agg(F.sum("n").cast("double").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
         h = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
         return c.select(*keys, "m", h.alias("h"))
 
-    per_host = node(seen, "host", "path", "parent", "kind")
-    every = node(seen.groupBy("path", "parent", "kind", "hash").agg(F.sum("n").alias("n")), "path", "parent", "kind").select("path", "parent", "kind", F.col("h").alias("h_all"), F.col("m").alias("m_all"))
-    both = per_host.join(every, ["path", "parent", "kind"])
+    per_host = node(seen, "host", "path", "up", "kind")
+    every = node(seen.groupBy("path", "kind", "hash").agg(F.sum("n").alias("n")), "path", "kind").select("path", "kind", F.col("h").alias("h_all"))
     weight = F.lit(float(prior))
-    both = both.withColumn("imp", (F.col("m") * F.col("h") + weight * F.col("h_all")) / (F.col("m") + weight))
-    both = stored(both.select("host", "path", "parent", "kind", "m", "imp"))
-    own = both.groupBy("host", "path", "parent").agg(F.avg(F.when(F.col("kind") == 0, F.col("imp"))).alias("style"), F.avg(F.when(F.col("kind") == 1, F.col("imp"))).alias("content"))
-    below = both.where("kind = 1").groupBy("host", F.col("parent").alias("path")).agg((F.sum(F.col("imp") * F.col("m")) / F.sum("m")).alias("kids"))
-    tree = own.join(below, ["host", "path"], "left")
-    inner = F.coalesce("content", "kids", "style")
-    return tree.select("host", "path", (F.lit(1 - DAMP) * F.coalesce("kids", "content", "style") + F.lit(DAMP) * inner).alias("importance"))
+    both = per_host.join(every, ["path", "kind"]).withColumn("imp", (F.col("m") * F.col("h") + weight * F.col("h_all")) / (F.col("m") + weight))
+    both = stored(both.select("host", "path", "up", "kind", "m", "imp"))
+    style = both.where("kind = 0").groupBy("host", "path").agg(F.max("imp").alias("style"))
+    below = both.where("kind = 1").select("host", F.explode("up").alias("path"), "imp", "m")
+    content = below.groupBy("host", "path").agg((F.sum(F.col("imp") * F.col("m")) / F.sum("m")).alias("content"), F.max("imp").alias("most"))
+    tree = content.join(style, ["host", "path"], "left")
+    return tree.select("host", "path", F.when(F.col("style").isNull(), F.col("content")).otherwise(F.lit(DAMP) * F.col("style") + F.lit(1 - DAMP) * F.col("content")).alias("importance"), "most")
 
 
 def extract_text(page: str | None, low: set[int]) -> str:
@@ -168,7 +178,7 @@ def extract(pages: DataFrame, keep: float = KEEP) -> DataFrame:
     """pages (url, html, ...) with `text`, the main text of each page, and `n_chars`."""
     d = pages.withColumn("_host", F.coalesce(host_of(F.col("url")), F.lit("")))
     tree = style_tree(d.select(F.col("_host").alias("host"), "html"))
-    low = tree.where(F.col("importance") < keep).groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low"))
+    low = tree.where((F.col("importance") < keep) & (F.col("most") < keep)).groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low"))
     low = stored(low)
 
     @F.pandas_udf("string")
