@@ -71,6 +71,14 @@ class Env:
         self.tape, self.tz = tape, tz
 
 
+def _first(env, i, args):
+    return num(arg(args, 0))
+
+
+def _bar(env, i, args):
+    return env.tape.bar(i) if i >= 0 else (NAN, NAN, NAN, 0.0)
+
+
 def _locked(name: str, settings, start, feed):
     """A call site whose settings must not change after its first call.
 
@@ -78,31 +86,38 @@ def _locked(name: str, settings, start, feed):
     """
 
     def make(env: Env):
-        held, send = None, None
+        held, send, raw = None, None, None
+        first = 0 if feed is _bar else 1 if feed is _first else None  # where the settings begin
 
         def call(i: int, args: list):
-            nonlocal held, send
-            now = settings(args)
-            if send is None:
-                held, send = now, ind.primed(start(*now))
-            elif now != held:
-                raise ScriptError(f"{name}: a length or parameter must not change between bars")
+            nonlocal held, send, raw
+            if raw is None or args[first:] != raw:
+                now = settings(args)
+                if send is None:
+                    held, send = now, ind.primed(start(*now))
+                elif now != held:
+                    raise ScriptError(f"{name}: a length or parameter must not change between bars")
+                raw = None if first is None else args[first:]
             return send(feed(env, i, args))
 
         return call
 
+    make.settings, make.start, make.feed = settings, start, feed
     return make
 
 
-def _first(env, i, args):
-    return num(arg(args, 0))
-
-
-def _bar(env, i, args):
-    return env.tape.bar(i) if i >= 0 else (NAN, NAN, NAN, 0.0)
+STATEFUL: dict = {}
 
 
-STATEFUL: dict = {}
+def fixed_send(name: str, settings: list):
+    """The send function of a series indicator whose settings are literals; None if the name or the settings need the checks of a call."""
+    make = STATEFUL.get(name)
+    if getattr(make, "feed", None) is not _first:
+        return None
+    try:
+        return ind.primed(make.start(*make.settings([NAN, *settings])))
+    except ScriptError:
+        return None
 
 for _name, _start in {
     "sma": ind.sma, "ema": ind.ema, "wma": ind.wma, "wilders": ind.wilders, "dema": ind.dema, "tema": ind.tema, "tma": ind.tma,

@@ -284,11 +284,23 @@ def alma(p: int, offset: float, sigma: float) -> Stream:
 
 
 def poison_max(*v: float) -> float:
-    return NAN if any(x != x for x in v) else max(v)
+    best = v[0]
+    for x in v:
+        if not x <= best:
+            if x != x:
+                return NAN
+            best = x
+    return best
 
 
 def poison_min(*v: float) -> float:
-    return NAN if any(x != x for x in v) else min(v)
+    best = v[0]
+    for x in v:
+        if not x >= best:
+            if x != x:
+                return NAN
+            best = x
+    return best
 
 
 def true_range() -> Stream:

@@ -34,6 +34,9 @@ def number_text(x: float) -> str:
         return "Infinity" if x > 0 else "-Infinity"
     if x == 0:
         return "0"
+    if 1e-3 <= abs(x) < 1e15:  # no exponent in either notation
+        short = repr(x)
+        return short[:-2] if short.endswith(".0") else short
     sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
     d, k = "".join(map(str, digits)), len(digits)
     n = k + exponent

@@ -52,6 +52,15 @@ def wide_columns(record: dict) -> list[tuple[str, str, str, int]]:
 _PART = {"value": "values", "qty": "qty", "price": "prices", "message": "messages", "a": "a", "b": "b"}
 
 
+def column_of(record: dict, name: str, section: str, k: int) -> list | None:
+    """The per-bar values of one wide column in a result record; None if an error emptied it."""
+    rows = record[section]
+    values = rows[k] if k < len(rows) else None
+    if isinstance(values, dict):
+        values = values.get("colors") if section == "bgColors" else values.get(_PART.get(name.rpartition("_")[2], "values"))
+    return values
+
+
 def per_bar(bars: DataFrame, source: str, options: dict | None, columns: list[tuple[str, str, str, int]]) -> DataFrame:
     """One row a bar: symbol, bar_index, date, the given output columns, and the symbol's error if it has one."""
     schema = "symbol string, bar_index long, date long, " + "".join(f"`{c}` {t}, " for c, t, _, _ in columns) + "error string"
@@ -61,10 +70,7 @@ def per_bar(bars: DataFrame, source: str, options: dict | None, columns: list[tu
         record, n = run_tape(source, tape, options), table.num_rows
         data = {"symbol": pa.array([table.column("symbol")[0].as_py()] * n, pa.string()), "bar_index": pa.array(range(n), pa.int64()), "date": table.column("date").combine_chunks().take(pc.sort_indices(table, [("date", "ascending"), ("seq", "ascending")]))}
         for name, kind, section, k in columns:
-            rows = record[section]
-            values = rows[k] if k < len(rows) else None
-            if isinstance(values, dict):
-                values = values.get("colors") if section == "bgColors" else values.get(_PART.get(name.rpartition("_")[2], "values"))
+            values = column_of(record, name, section, k)
             if kind == "double":
                 data[name] = pa.array(values if values is not None else [None] * n, pa.float64(), from_pandas=True)
             else:

@@ -84,6 +84,17 @@ class Site:
     def fail(self, message: str):
         raise ScriptError(message, self.node.line)
 
+    def freeze(self, kw: dict, rest: list):
+        """For calls whose styles are literals: a function of (bar, value) alone. Checks run on the first bar."""
+
+        def push(i, v):
+            return self(i, kw, [v, *rest]) if self.record is None else self.put(i, v, kw, rest)
+
+        return push
+
+    def put(self, i, v, kw, rest):
+        return self(i, kw, [v, *rest])
+
     def span(self, n: Node | None):
         return list(n.span) if n is not None and n.kind in ("num", "str") else None
 
@@ -125,6 +136,12 @@ class Plot(Site):
         return self.ref
 
 
+    def put(self, i, v, kw, rest):
+        if i >= 0 and isinstance(v, float):
+            self.values[i] = v
+        return self.ref
+
+
 class Level(Site):
     def __call__(self, i, kw, args):
         v = self.lock("value", num(self.argument(args, 0)))
@@ -166,6 +183,12 @@ class Shape(Site):
         return 0.0
 
 
+    def put(self, i, v, kw, rest):
+        if i >= 0:
+            self.record["values"][i] = signal(v)
+        return 0.0
+
+
 class Trade(Site):
     def __call__(self, i, kw, args):
         color, price = self.lock("color", kw.get("color")), kw.get("price", "close")
@@ -226,6 +249,10 @@ class Alert(Site):
         return 0.0
 
 
+    def put(self, i, v, kw, rest):
+        return self(i, kw, [v, *rest]) if truthy(v) else 0.0
+
+
 class Drawing(Site):
     def __call__(self, i, kw, args):
         label, out = self.node.name == "label.new", self.out

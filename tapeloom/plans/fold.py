@@ -168,7 +168,7 @@ class Run:
 _RUNTIME = {
     "nan": NAN, "inf": math.inf, "UNSET": UNSET, "column_at": column_at, "variable_at": variable_at, "scalar_at": scalar_at, "buffered": buffered,
     "pick": pick, "after": after, "fail": fail, "bounds": bounds, "truthy": lib.truthy, "plus": lib.plus, "divide": lib.divide, "remainder": lib.remainder,
-    "same": lib.same, "num": lib.num, "Resampled": Resampled, "MAX_LOOPS": MAX_LOOPS, "Series": Series, "float": float, "len": len,
+    "same": lib.same, "num": lib.num, "fixed_send": lib.fixed_send, "Resampled": Resampled, "MAX_LOOPS": MAX_LOOPS, "Series": Series, "float": float, "len": len,
 }
 
 
@@ -529,6 +529,9 @@ class Generator:
             return self.user_call(self.p.functions[name], e, scope)
         if name == "security":
             return self.security(e, scope)
+        fast = self.fast_call(e, scope)
+        if fast is not None:
+            return fast
         kw = "{" + ", ".join(f"{k!r}: {self.expression(v, scope)}" for k, v in e.kwargs.items()) + "}"
         args = [self.expression(a, scope) for a in e.args]
         listed = f"[{', '.join(args)}]"
@@ -552,6 +555,33 @@ class Generator:
             return Code(f"{f}({', '.join(args)})", number, all(a.pure for a in args) and not name.startswith("array."))
         return Code(f"fail('unknown function {name}', {e.line})")
 
+    def fast_call(self, e: Node, scope: Scope) -> Code | None:
+        """Calls whose settings or styles are literals skip the per-bar checks; inputs are read once."""
+        name, literal = e.name, lambda n: n.kind in ("num", "str")
+        if name.startswith("input") and name in SITES and self.mode is None and not self.path and all(literal(n) for n in [*e.args, *e.kwargs.values()]):
+            self.nodes.append(e)
+            site, held = self.fresh("d_"), self.fresh("in_")
+            self.setup += [f"    {site} = rt.site(nodes[{len(self.nodes) - 1}])", f"    {held} = UNSET"]
+            kw = "{" + ", ".join(f"{k!r}: {self.expression(v, scope)}" for k, v in e.kwargs.items()) + "}"
+            args = ", ".join(self.expression(a, scope) for a in e.args)
+            return Code(f"({held} if {held} is not UNSET else ({held} := {site}(i, {kw}, [{args}])))", name != "input.string", True)
+        if not e.args or not all(literal(n) for n in [*e.args[1:], *e.kwargs.values()]):
+            return None
+        if name in ("plot", "plotshape", "plotbuy", "plotsell", "alertcondition"):
+            self.nodes.append(e)
+            push = self.fresh("d_")
+            kw = "{" + ", ".join(f"{k!r}: {self.expression(v, scope)}" for k, v in e.kwargs.items()) + "}"
+            rest = ", ".join(self.expression(a, scope) for a in e.args[1:])
+            self.setup.append(f"    {push} = rt.site(nodes[{len(self.nodes) - 1}]).freeze({kw}, [{rest}])")
+            return Code(f"{push}(i, {self.expression(e.args[0], scope)})", name != "plot")
+        if name in lib.STATEFUL and not e.kwargs:
+            settings = [n.value for n in e.args[1:]]
+            if lib.fixed_send(name, settings) is not None:
+                send = self.fresh("s_")
+                self.setup.append(f"    {send} = fixed_send({name!r}, [{', '.join(str(self.on_num(n, scope)) if n.kind == 'num' else repr(n.value) for n in e.args[1:])}])")
+                return Code(f"{send}({self.expression(e.args[0], scope).f})", True)
+        return None
+
     def user_call(self, f: Function, e: Node, scope: Scope) -> Code:
         """A copy of the function for this call path."""
         args = [self.expression(a, scope) for a in e.args]
