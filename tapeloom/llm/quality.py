@@ -154,14 +154,15 @@ class AdditiveModel:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows=None, bound: int = SAMPLE) -> AdditiveModel:
     """A model of `labels.quality`, from at most `bound` rows of each class."""
-    picked = sample(docs, labels, "quality", F.lit(True) if train_rows is None else train_rows, {0: bound, 1: bound})
+    usable = F.lit(True) if train_rows is None else train_rows
+    picked = sample(docs, labels, "quality", usable, {0: bound, 1: bound})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             yield pd.DataFrame({"x": list(vectors(d["text"].tolist())), "y": d["y"]})
 
     rows = picked.mapInPandas(run, "x array<double>, y int").collect()  # at most 2 * bound short vectors
-    n = {r.y: r.n for r in labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("quality").alias("y")).agg(F.count("*").alias("n")).collect()}
+    n = {r.y: r.n for r in labels.where(F.col("quality").isin(0, 1) & usable).groupBy(F.col("quality").alias("y")).agg(F.count("*").alias("n")).collect()}
     rows.sort(key=lambda r: (r.y, r.x))
     x, y = np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], float)
     model = AdditiveModel().fit(x, y)
