@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shingles
-from tapeloom.llm._shared import Stored, components, stored, table, text_key
+from tapeloom.llm._shared import components, gated, stored, table, text_key
 from tapeloom.llm.shingles import mix
 
 SIMILAR, WORDS, BANDS, ROWS = 0.8, 5, 24, 5
@@ -149,10 +149,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, ok) for distinct pairs of text keys: whether their shingle sets are similar enough."""
-    of = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = Stored(texts.join(of, "node").dropDuplicates(["node"]).mapInArrow(_shingle_sets, "node binary, units binary")).df
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, ok) for distinct pairs of text keys: whether their shingle sets (node, units) are similar enough."""
     a = sets.select(F.col("node").alias("u"), F.col("units").alias("a_units"))
     b = sets.select(F.col("node").alias("v"), F.col("units").alias("b_units"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a_units", "b_units").mapInArrow(_verify, "u binary, v binary, ok boolean")
@@ -164,7 +162,9 @@ def links(texts: DataFrame) -> DataFrame:
     hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     members = stored(found.join(hubs, "bucket").distinct())  # buckets of two texts or more
     star = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    first = stored(verified(star, texts))
+    of = members.select("node").distinct()
+    sets = stored(gated(texts, "node", of).join(of, "node").dropDuplicates(["node"]).mapInArrow(_shingle_sets, "node binary, units binary"))
+    first = stored(verified(star, sets))
     failed = first.where("not ok").select(F.col("u").alias("node"), F.col("v").alias("hub"))
     # those whose hub is not similar: neighbours in the order of the next band, in slices of the bucket by that order
     part = members.join(failed.withColumn("failed", F.lit(True)), ["node", "hub"], "left").withColumn("slice", F.shiftright("near", 59))
@@ -172,7 +172,7 @@ def links(texts: DataFrame) -> DataFrame:
     part = part.withColumns({f"x{k}": F.struct(F.lag("node", k).over(w).alias("other"), F.lag("failed", k).over(w).alias("too")) for k in (1, 2)})
     chain = part.select("node", "failed", F.explode(F.array("x1", "x2")).alias("x")).where("x.other is not null and (failed or x.too)").select("node", F.col("x.other").alias("other"))
     chain = chain.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    second = verified(stored(chain), texts)
+    second = verified(stored(chain), sets)
     return stored(first.where("ok").select("u", "v").unionByName(second.where("ok").select("u", "v")))
 
 
