@@ -214,7 +214,7 @@ class Generator:
         self.used_columns: set[str] = set()
         self.shared: set[str] = set()  # script variables that functions write
         self.trading = any(x.kind in ("call", "name") and x.name.startswith("strategy.") for e in _everything(program) for x in walk(e))
-        self.looping = any(s.kind in ("for", "while") for s in _statements(program))
+        self.looping = any(s.kind in ("for", "while") for s in statements(program))
         self.path: list[str] = []
 
     def fresh(self, prefix: str) -> str:
@@ -637,7 +637,8 @@ def _trading(name: str) -> str:
     return name.replace("strategy.", "st_")
 
 
-def _statements(p: Program):
+def statements(p: Program):
+    """All statements of a program, inside blocks and functions too."""
     todo = [*p.body, *(s for f in p.functions.values() for s in f.body)]
     while todo:
         s = todo.pop()
@@ -647,7 +648,7 @@ def _statements(p: Program):
 
 
 def _everything(p: Program):
-    for s in _statements(p):
+    for s in statements(p):
         for e, _ in expressions(s):
             yield e
     for f in p.functions.values():

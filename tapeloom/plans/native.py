@@ -1,8 +1,8 @@
 """The native tier: a script becomes staged window columns that Catalyst plans; no Python runs on the executors.
 
-A script is native if it is straight-line code over series: assignments, outputs, pure user functions (inlined),
-constant periods (after inputs), and no `var`, loops, arrays or orders. Anything else raises NotNative and goes to the
-fold tier. na is NULL. All windows are partitioned by symbol, so a plan has one exchange, whatever it computes.
+A script is native if it can be made straight-line code over series: assignments, outputs, user functions (inlined),
+constant periods (after inputs), `if` and `switch` without state inside (they become CASE expressions) and `for` with
+constant bounds (unrolled). `var`, other loops, arrays, orders and anything else raise NotNative: the fold tier runs them. na is NULL. All windows are partitioned by symbol, so a plan has one exchange, whatever it computes.
 
 Recurrences (the EMA family, Wilder averages) are windows too. The finite values of a series are numbered and cut into
 blocks; inside a block the average is a prefix sum scaled by the block's start, and what enters a block from earlier
@@ -14,19 +14,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import calendar, columns as fx
-from tapeloom.functions.builtins import MAX_PERIOD, Tape
+from tapeloom.functions.builtins import MAX_PERIOD, STATEFUL, Tape
 from tapeloom.functions.text import round_half_up
 from tapeloom.operators.outputs import SITES, Outputs
-from tapeloom.plans.fold import BUILT_IN, NOW, frame_key
+from tapeloom.plans.fold import BUILT_IN, NOW, frame_key, statements
 from tapeloom.plans.syntax import Node, Program, ScriptError, parse, walk
 
-DECAY_PER_BLOCK, LOOK_BACK = 10.0, 4
+DECAY_PER_BLOCK, LOOK_BACK, MAX_UNROLLED = 10.0, 4, 64
 OHLC = ("open", "high", "low", "close")
 
 
@@ -401,6 +402,10 @@ class Compiler:
         self.frame = self.main = Frame(df, "t")
         self.names: list[dict[str, Val]] = [{}]
         self.columns: dict[str, Column] = {}
+        self.counters: list[str] = []
+        self.inside = 0  # blocks around the statement at hand; no state may advance in them
+        self.turns = 0
+        self.writes = Counter(s.name for s in statements(program) if s.kind in ("assign", "update"))
         self.pools: list[tuple[str, dict]] = []
 
     # -- names
@@ -444,18 +449,98 @@ class Compiler:
 
     def run(self) -> None:
         for s in self.p.body:
-            if s.kind == "assign":
-                if s.name in BUILT_IN:
-                    raise ScriptError(f"{s.name} is built in", s.line)
-                v = self.value(s.value)
-                self.names[0][s.name] = v if v.fixed or v.col is None else replace(v, col=self.frame.stage(v.col))
-            elif s.kind == "expr":
-                self.value(s.value)
-            else:
-                raise NotNative(s.kind)
+            self.statement(s)
         if not self.out.drew():
             raise ScriptError("the script draws nothing")
 
+    def kept(self, e: Node) -> Val:
+        v = self.value(e)
+        return v if v.fixed or v.col is None else replace(v, col=self.frame.stage(v.col))
+
+    def statement(self, s: Node) -> None:
+        if s.kind == "assign":
+            if s.name in BUILT_IN:
+                raise ScriptError(f"{s.name} is built in", s.line)
+            if s.name in self.counters:
+                raise NotNative("a loop variable that is assigned")
+            self.names[-1][s.name] = self.kept(s.value)
+        elif s.kind == "update":
+            v = self.kept(s.value)
+            scope = next((x for x in reversed(self.names) if s.name in x), None)
+            if scope is None or s.name in self.counters:
+                raise ScriptError(f"{s.name} is not declared", s.line) if scope is None else NotNative("a loop variable that is assigned")
+            scope[s.name] = v
+        elif s.kind == "expr":
+            self.value(s.value)
+        elif s.kind == "if":
+            self.choose([(None if k == 0 else test, body) for k, (test, body) in enumerate(s.arms)], s.other or [], self.value(s.arms[0][0]))
+        elif s.kind == "switch":
+            subject = self.kept(s.subject)
+            arms = [(t, [x]) for t, x in s.arms if t is not None]
+            self.choose(arms, next(([x] for t, x in s.arms if t is None), []), None, subject)
+        elif s.kind == "for":
+            self.unroll(s)
+        else:
+            raise NotNative(s.kind)
+
+    def choose(self, arms: list, other: list[Node], first: Val | None, subject: Val | None = None) -> None:
+        """Runs every arm on a copy of the names and joins what they changed by CASE. first: the test that always runs."""
+        self.inside += 1
+        before = [dict(x) for x in self.names]
+        tests, ends = [], []
+        for test, body in arms:
+            self.names = [dict(x) for x in before]
+            v = first if test is None else self.value(test)
+            hit = self.test(v) if subject is None else fx.equal(subject.col, v.col) if subject.string == v.string else F.lit(False)
+            tests.append(self.frame.stage(hit))
+            ends.append(self.block(body))
+        self.names = [dict(x) for x in before]
+        ends.append(self.block(other))
+        self.inside -= 1
+        self.names = before
+        for level, scope in enumerate(before):
+            for name in scope:
+                now = [e[level][name] for e in ends]
+                if all(v is scope[name] for v in now):
+                    continue
+                if any(v.ref is not None for v in now) or len({v.string for v in now}) > 1:
+                    raise NotNative("a value is of different kinds on different bars")
+                col = now[-1].col
+                for t, v in reversed(list(zip(tests, now))):
+                    col = F.when(t, v.col).otherwise(col)
+                scope[name] = Val(self.frame.stage(col), string=now[0].string)
+
+    def block(self, body: list[Node]) -> list[dict[str, Val]]:
+        """The outer names after a block; its own names end with it."""
+        self.names.append({})
+        for s in body:
+            self.statement(s)
+        return self.names[:-1]
+
+    def unroll(self, s: Node) -> None:
+        bounds = [self.value(x) if x is not None else constant(1.0) for x in (s.start, s.stop, s.step)]
+        if not all(v.fixed for v in bounds):
+            raise NotNative("loop bounds that vary")
+        start, stop, step = (v.const for v in bounds)
+        if not all(isinstance(x, float) for x in (start, stop, step)):
+            raise ScriptError("loop bounds must be numbers", s.line)
+        if step == 0:
+            raise ScriptError("a loop step must not be zero", s.line)
+        self.inside += 1
+        self.counters.append(s.name)
+        self.names.append({})
+        while start <= stop if step > 0 else start >= stop:
+            self.turns += 1
+            if self.turns > MAX_UNROLLED:
+                raise NotNative("a loop of many turns")
+            self.names[-1][s.name] = constant(start)
+            for x in s.body:
+                self.statement(x)
+            start += step
+        self.names.pop()
+        self.counters.pop()
+        self.inside -= 1
+
     # -- expressions
 
     def value(self, e: Node) -> Val:
@@ -548,6 +633,11 @@ class Compiler:
             return Val(none, string=of.string)
         if self.frame is not self.main and e.of_.kind == "name" and any(e.of_.name in s for s in self.names):
             raise NotNative("history of a script variable inside security")
+        named = e.of_.kind == "name"
+        if named and self.writes[e.of_.name] > 1 and any(e.of_.name in x for x in self.names):
+            raise NotNative("history of a variable that is assigned twice")  # history is of its last value on a bar
+        if self.inside and not (named and (e.of_.name in BUILT_IN or e.of_.name in self.names[0])):
+            raise NotNative("state inside a block")
         scalar = of.fixed or e.of_.kind == "name" and e.of_.name in BUILT_IN and e.of_.name.startswith(("barstate", "current", "date_", "market_"))
         if n == 0:
             return of
@@ -578,6 +668,8 @@ class Compiler:
 
     def on_call(self, e):
         name, args, f = e.name, e.args, self.frame
+        if self.inside and (name in STATEFUL or name == "security"):
+            raise NotNative("state inside a block")
         get = lambda k: args[k] if len(args) > k else None
         if name in self.p.functions:
             return self.inline(self.p.functions[name], [self.value(a) for a in args])
@@ -688,15 +780,14 @@ class Compiler:
     def inline(self, f, args: list[Val]) -> Val:
         """A pure function's body at its call: parameters and locals in a scope of its own over the script's."""
         saved, self.names = self.names, [self.names[0], dict(zip(f.params, args))]
+        counters, self.counters = self.counters, []
         try:
             for s in f.body:
-                if s.kind != "assign":
-                    raise NotNative(f"{s.kind} in a function")
-                v = self.value(s.value)
-                self.names[1][s.name] = v if v.fixed or v.col is None else replace(v, col=self.frame.stage(v.col))
+                self.statement(s)
             return self.value(f.result)
         finally:
-            self.names = saved
+            saved[0] = self.names[0]  # what the function wrote to the script's variables
+            self.names, self.counters = saved, counters
 
     # -- security: bars of a higher timeframe, joined back to the bars of the bucket after
 

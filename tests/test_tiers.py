@@ -12,6 +12,7 @@ SCRIPTS = {
     "bars": "plot(atr(5))\nplot(adx(5))\nplot(mfi(6))\nplot(cci(7))\nplot(vwap())\nplot(stoch(5))\nplot(willr(4))\nplot(aroonup(6))\nplot(pivothigh(2, 2))\n",
     "events": "up = crossover(close, sma(close, 5))\nplot(barssince(up))\nplot(valuewhen(up, low))\nplotshape(up)\nalertcondition(up, message=\"c={{close}}\")\nplot(cum(close[1]))\nplot(rising(close, 2))\n",
     "scalars": "plot(round(close))\nplot(min(close, close[1]))\nplot(nz(close[3], -1))\nplot(close != close[1])\nplot(log(close - 100))\nplot(close % 7)\nplot(1 / (bar_index % 2))\n",
+    "control": "x = 0.0\nname = \"flat\"\nif close > open\n    x := high\n    name := \"up\"\n    y = 3\n    if volume > 1500\n        x := x + y\nelse if close < open\n    x := low\n    name := \"down\"\nplot(x)\nplot(name == \"up\" ? 1 : 2)\ns = 0.0\nfor k = 0 to 4\n    t = close[k]\n    if t > open\n        s := s + t * k\nplot(s)\nr = 0\nswitch bar_index % 3\n    0 => r := high\n    1 => r := low\n    => r := close\nplot(r)\npick(a, b) =>\n    o = a\n    if b > a\n        o := b\n    o\nplot(pick(close, sma(close, 3)))\n",
     "security": 'plot(security("5m", close))\nplot(security("1h", sma(high, 2)))\n',
 }
 
