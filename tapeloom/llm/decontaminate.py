@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shingles
-from tapeloom.llm._shared import stored, table, text_key
+from tapeloom.llm._shared import gated, stored, table, text_key
 
 N, BLOCK, PER_BLOCK, SCORE, BITS = 3, 4, 2, 0.5, 24
 
@@ -99,7 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
     seeds = grams.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= PER_BLOCK).select("gram", F.col("key").alias("item"), "at")
     near = hits.join(seeds, "gram").select("node", "item", (F.floor((F.col("doc_at") - F.col("at")) / 8) * 8).cast("int").alias("start"))
     pairs = stored(near.groupBy("node", "item").agg(F.collect_set("start").alias("starts")))
-    found = texts.withColumnRenamed("key", "node").join(pairs.select("node").distinct(), "node").dropDuplicates(["node"])
+    of = pairs.select("node").distinct()
+    found = gated(texts.withColumnRenamed("key", "node"), "node", of).join(of, "node").dropDuplicates(["node"])
     work = pairs.join(found, "node").join(items.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
     scored = work.select("node", "item", "text", "item_text", "starts").mapInArrow(_aligned, "node binary, item binary, score double, end_word int")
     return stored(scored.where(F.col("score") >= least))
