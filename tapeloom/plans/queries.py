@@ -225,11 +225,46 @@ for _n, _c in (("adx", "ax"), ("diplus", "dp"), ("diminus", "dm")):
 for _n, _v in (("aroonup", "high"), ("aroondown", "-low")):
     one(f"fn_{_n}", f"{_n}(10)", full(f"100 * (10 - (bar_index - arg_max(bar_index, row({_v}, bar_index)) {over(11)})) / 10.0", "high", 11))
 one("fn_cci", "cci(14)", "CASE WHEN n = 14 AND dev > 0 THEN (t - m) / (0.015 * dev) END", stages=({"t": "(high + low + close) / 3"}, {"n": f"count(t) {over(14)}", "m": f"avg(t) {over(14)}", "l": f"list(t) {over(14)}"}, {"dev": "list_avg(list_transform(l, lambda x: abs(x - m)))"}))
-_r = Sql().add(x=f"close - {c1}").add(g="CASE WHEN x IS NULL THEN NULL WHEN x > 0 THEN x ELSE 0 END", l="CASE WHEN x IS NULL THEN NULL WHEN x < 0 THEN -x ELSE 0 END")
-_r = _r.add(g2=f"CASE WHEN bar_index = 14 THEN avg(g) {over(14)} WHEN bar_index > 14 THEN g END", l2=f"CASE WHEN bar_index = 14 THEN avg(l) {over(14)} WHEN bar_index > 14 THEN l END").ema("ag", "g2", 1 / 14).ema("al", "l2", 1 / 14)
-add("fn_rsi", "rsi(close, 14)", _r.out("CASE WHEN ag IS NULL THEN NULL WHEN al = 0 THEN CASE WHEN ag = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + ag / al) END"))
-add("fn_sar", "sar()\nsar(0.01, 0.03, 0.3)")
-add("fn_supertrend", "supertrend(10, 3)\nsupertrend_dir(10, 3)")
+def rsi_stages(s: Sql) -> Sql:
+    """Columns ag and al, Wilder's average gain and loss over 14 steps."""
+    s.add(x=f"close - {c1}").add(g="CASE WHEN x IS NULL THEN NULL WHEN x > 0 THEN x ELSE 0 END", l="CASE WHEN x IS NULL THEN NULL WHEN x < 0 THEN -x ELSE 0 END")
+    s.add(g2=f"CASE WHEN bar_index = 14 THEN avg(g) {over(14)} WHEN bar_index > 14 THEN g END", l2=f"CASE WHEN bar_index = 14 THEN avg(l) {over(14)} WHEN bar_index > 14 THEN l END")
+    return s.ema("ag", "g2", 1 / 14).ema("al", "l2", 1 / 14)
+
+
+RSI = "CASE WHEN ag IS NULL THEN NULL WHEN al = 0 THEN CASE WHEN ag = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + ag / al) END"
+add("fn_rsi", "rsi(close, 14)", rsi_stages(Sql()).out(RSI))
+
+def sar_sql(start: float, step: float, most: float) -> str:
+    s = Sql()
+    rising, falling = "least(s, pl, ppl)", "greatest(s, ph, pph)"
+    s.parts.append(f"""r AS (
+  SELECT x.symbol, x.bar_index, x.close >= y.close AS up, CASE WHEN x.close >= y.close THEN least(x.low, y.low) ELSE greatest(x.high, y.high) END AS sar,
+    CASE WHEN x.close >= y.close THEN greatest(x.high, y.high) ELSE least(x.low, y.low) END AS ep, CAST({start} AS DOUBLE) AS af, x.high AS ph, x.low AS pl, y.high AS pph, y.low AS ppl
+  FROM b x JOIN b y ON x.symbol = y.symbol AND x.bar_index = 1 AND y.bar_index = 0
+  UNION ALL
+  SELECT symbol, bar_index, CASE WHEN up THEN low >= c ELSE high > c END, CASE WHEN up AND low < c OR NOT up AND high > c THEN ep ELSE c END,
+    CASE WHEN up THEN CASE WHEN low < c THEN low ELSE greatest(ep, high) END ELSE CASE WHEN high > c THEN high ELSE least(ep, low) END END,
+    CASE WHEN up AND low < c OR NOT up AND high > c THEN {start} WHEN up AND high > ep OR NOT up AND low < ep THEN least({most}, af + {step}) ELSE af END, high, low, ph, pl
+  FROM (SELECT *, CASE WHEN up THEN {rising} ELSE {falling} END AS c FROM (
+    SELECT n.symbol, n.bar_index, n.high, n.low, r.up, r.ep, r.af, r.ph, r.pl, r.pph, r.ppl, r.sar + r.af * (r.ep - r.sar) AS s FROM r JOIN b n ON n.symbol = r.symbol AND n.bar_index = r.bar_index + 1))
+), j AS (SELECT b.*, r.sar AS v FROM b LEFT JOIN r USING (symbol, bar_index))""")
+    s.of = "j"
+    return s.out("v")
+
+
+add("fn_sar", "sar()", sar_sql(0.02, 0.02, 0.2))
+add("fn_sar_settings", "sar(0.01, 0.03, 0.3)", sar_sql(0.01, 0.03, 0.3))
+_t = Sql().add(t=TR).ema("a", "t", 1 / 10)
+_t.parts.append("""r AS (
+  SELECT symbol, bar_index, (high + low) / 2 + 3 * a AS u, (high + low) / 2 - 3 * a AS l, CASE WHEN close < (high + low) / 2 - 3 * a THEN -1 ELSE 1 END AS d, close AS c FROM j_a WHERE bar_index = 0
+  UNION ALL
+  SELECT symbol, bar_index, u2, l2, CASE WHEN d > 0 AND close < l2 THEN -1 WHEN d < 0 AND close > u2 THEN 1 ELSE d END, close FROM (
+    SELECT n.symbol, n.bar_index, n.close, r.d, CASE WHEN n.u < r.u OR r.c > r.u THEN n.u ELSE r.u END AS u2, CASE WHEN n.l > r.l OR r.c < r.l THEN n.l ELSE r.l END AS l2
+    FROM r JOIN (SELECT symbol, bar_index, close, (high + low) / 2 + 3 * a AS u, (high + low) / 2 - 3 * a AS l FROM j_a) n ON n.symbol = r.symbol AND n.bar_index = r.bar_index + 1)
+), j AS (SELECT b.*, CASE WHEN r.d > 0 THEN r.l ELSE r.u END AS v, r.d FROM b JOIN r USING (symbol, bar_index))""")
+_t.of = "j"
+add("fn_supertrend", "supertrend(10, 3)\nsupertrend_dir(10, 3)", _t.out("v", "d"))
 # scalar functions
 one("fn_math", "abs(close - open)\nsqrt(volume)\nexp(close / 1000)\nfloor(close)\nceil(close)\nsign(close - open)\npow(close - open, 2)", "abs(close - open)", "sqrt(volume)", "exp(close / 1000)", "floor(close)", "ceil(close)", "sign(close - open)", "power(close - open, 2)")
 one("fn_log", "log(volume)\nna(log(close - close - 1))", "ln(volume)", "1")
@@ -301,12 +336,12 @@ add("strategy_state", "strategy.buy(bar_index == 3, 10)\nstrategy.sell(bar_index
 _STRATEGY = "strategy.config(initial_capital=50000, commission_percent=0.1, commission_cash=0.5, slippage=0.02, pyramiding=2)\nup = crossover(close, sma(close, 5))\ndown = crossunder(close, sma(close, 5))\nstrategy.buy(up, qty=5, qty_type=\"percent_of_equity\", stop_loss=20, take_profit=40, trailing=30)\nstrategy.sell(down, qty=2000, qty_type=\"cash\", limit=close + 1, expires=5)\n"
 panel("strategy_trades", _STRATEGY, None, "trades")
 panel("strategy_summary", _STRATEGY, None, "summary")
-add("strategy_markers", "strategy.buy(close > open * 3, 1)\nstrategy.sell(close < open / 3, 1)\nplot(strategy.position_size)\n")
+add("strategy_netting", "strategy.buy(close > open * 3, 1)\nstrategy.sell(close < open / 3, 1)\nplot(strategy.position_size)\n", Sql().out(f"coalesce(sum(CASE WHEN close > open * 3 THEN 1 WHEN close < open / 3 THEN -1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
 
 # other tapes, many symbols
 one("tape_orders", "sma(close, 5)\ncrossover(close, sma(close, 5))", "m", flag(f"close > m AND {c1} <= {lag('m')}"), tape="orders", stages=({"m": mean("close", 5)},))
 one("tape_lineitem", "highest(high, 20)\nlowest(low, 20)\nvolume", full(f"max(high) {over(20)}", "high", 20), full(f"min(low) {over(20)}", "low", 20), "volume", tape="lineitem")
 one("many_tapes_window", "sma(close, 20)\nstdev(close, 20)\nhighest(high, 20)", mean("close", 20), full(f"stddev_pop(close) {over(20)}", "close", 20), full(f"max(high) {over(20)}", "high", 20), tape="supplier")
-add("many_tapes_fold", "var n = 0\nif crossover(close, ema(close, 10))\n    n := n + 1\nplot(n)\nplot(rsi(close, 14))\n", tape="supplier")
+add("many_tapes_fold", "var n = 0\nif crossover(close, ema(close, 10))\n    n := n + 1\nplot(n)\nplot(rsi(close, 14))\n", rsi_stages(Sql("supplier").ema("e", "close", 2 / 11).add(up=flag(f"close > e AND {c1} <= {lag('e')}"))).out(f"sum(up) {U}", RSI), tape="supplier")
 one("flagship", 'study("Crosses")\nm = sma(close, 10)\nplot(m)\nplotshape(crossover(close, m))', "m", stages=({"m": mean("close", 10)},))
 ORACLES["flagship"] = sql_as({"p0": "m", "shape_0": flag(f"close > m AND {c1} <= {lag('m')}")}, stages=({"m": mean("close", 10)},))
