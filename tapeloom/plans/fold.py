@@ -278,7 +278,7 @@ class Generator:
         if scope is self.script:
             if scope.names.get(s.name, ("", ""))[1] == "var":
                 return self.emit(f"fail('{s.name} is a var; use :=', {s.line})")
-            scope.names.setdefault(s.name, (f"v_{s.name}".replace(".", "_dot_"), "plain"))
+            scope.names.setdefault(s.name, (f"v_{s.name}".replace(".", "ǀ"), "plain"))
         elif scope.names.get(s.name, ("", ""))[1] == "var":
             return self.emit(f"fail('{s.name} is a var; use :=', {s.line})")
         elif s.name not in scope.names:
@@ -291,7 +291,7 @@ class Generator:
             return self.emit(f"fail('{s.name} is already declared', {s.line})")
         if s.name in scope.names and scope is self.script:
             return self.emit(f"fail('{s.name} is already declared', {s.line})")
-        name = f"v_{s.name}".replace(".", "_dot_") if scope is self.script else self.fresh("p_")
+        name = f"v_{s.name}".replace(".", "ǀ") if scope is self.script else self.fresh("p_")
         if scope is not self.script:
             self.setup.append(f"    {name} = UNSET")
             self.persistent(name)
