@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm._shared import table
 from tapeloom.llm.labels import fold, sample
+from tapeloom.llm.shingles import chunks
 
-SAMPLE, TERMS, LANDMARKS, BITS, DECAY, WINDOW, CACHE = 6000, 6000, 128, 15, 0.5, 48, 400_000
+SAMPLE, TERMS, LANDMARKS, BITS, DECAY, WINDOW, CACHE, CHUNK = 6000, 6000, 128, 15, 0.5, 48, 200_000, 1 << 19
 NO_TERM = -2.0
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,3}){3,}\w(?!\w)")
 _PAIRS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
@@ -83,8 +84,8 @@ def decide(batch: list[str], v: np.ndarray) -> np.ndarray:
     """Decision of each term: its strongest window's."""
     out = np.full(len(batch), -np.inf, np.float32)
     order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for k in range(0, len(order), 4096):  # of like lengths, so that little is padding
-        part = order[k : k + 4096]
+    for k in range(0, len(order), 2048):  # of like lengths, so that little is padding
+        part = order[k : k + 2048]
         at, weight, of = features([batch[i] for i in part])
         np.maximum.at(out, np.array(part)[of], (v[at] * weight).sum(1))
     return out
@@ -103,8 +104,11 @@ class KernelMachine:
     def decisions(self, texts) -> np.ndarray:
         if self.v is None:
             return np.full(len(texts), NO_TERM)
+        return np.concatenate([self._decisions(texts[a:b]) for a, b in chunks(texts, CHUNK)] or [np.zeros(0)])
+
+    def _decisions(self, texts) -> np.ndarray:
         found = [terms(t) for t in texts]
-        new = list(set().union(*found).difference(self.known)) if found else []
+        new = list(set().union(*found).difference(self.known))
         if len(self.known) + len(new) > CACHE:  # a cache of bounded size; what it forgets is computed again
             self.known = {}
             new = list(set().union(*found))
