@@ -58,29 +58,31 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[
     return own, looked
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within `edits` edits: banded automaton over characters, 8 bits per error count."""
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
+def within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two strings, given as columns of their characters, are within `edits` edits: 8 bits per error count.
+
+    The characters must be columns, not expressions, or they would be split again for each character.
+    """
+    m, n = F.size(x), F.size(y)
     width = 2 * edits + 1
+    edge = F.array(*[F.lit("")] * edits)  # equal to no character, so the band needs no bounds
+    padded = F.concat(edge, x, edge)
 
-    def row(j: Column) -> Column:  # which diagonals match at character j of b, and which lie inside a
+    def row(j: Column) -> Column:  # which diagonals match at character j of y
         c = F.get(y, j - 1)
-        hits = [F.when(F.coalesce(F.get(x, j + d - edits - 1) == c, F.lit(False)) & (j + d - edits >= 1), F.lit(1 << d)).otherwise(0) for d in range(width)]
-        inside = [F.when((j + d - edits >= 0) & (j + d - edits <= m), F.lit(1 << (d + 8))).otherwise(0) for d in range(width)]
-        return reduce(lambda p, q: p + q, hits + inside)
+        hits = [F.when(F.get(padded, j + d - 1) == c, F.lit(1 << d)).otherwise(0) for d in range(width)]
+        return reduce(lambda p, q: p + q, hits)
 
     def word(acc: Column, e: int) -> Column:
         return F.shiftright(acc, 8 * e).bitwiseAND(0xFF)
 
-    def step(acc: Column, r: Column) -> Column:
-        match, inside = r.bitwiseAND(0xFF), F.shiftright(r, 8)
+    def step(acc: Column, match: Column) -> Column:
         before = word(acc, 0)
-        new = before.bitwiseAND(match).bitwiseAND(inside)
+        new = before.bitwiseAND(match)
         out = new
         for e in range(1, edits + 1):
             old = word(acc, e)
-            new = old.bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(inside)
+            new = old.bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND((1 << width) - 1)
             out = out + F.shiftleft(new, 8 * e)
             before = old
         return out
@@ -88,7 +90,12 @@ def within(a: Column, b: Column, edits: int) -> Column:
     start = F.lit(sum(sum(1 << (edits + i) for i in range(e + 1)) << (8 * e) for e in range(edits + 1)))
     rows = F.transform(F.sequence(F.lit(1), n), row)
     accepted = F.aggregate(rows, start, step, lambda acc: F.call_function("shiftright", word(acc, edits), (m - n + edits).cast("int")).bitwiseAND(1))
-    return (F.abs(m - n) <= edits) & F.when((n > 0) & (m > edits), accepted == 1).otherwise(F.levenshtein(a, b) <= edits)
+    return (F.abs(m - n) <= edits) & F.when((n > 0) & (m > edits), accepted == 1).otherwise(F.levenshtein(F.array_join(x, ""), F.array_join(y, "")) <= edits)
+
+
+def letters(line: Column) -> Column:
+    """How often each of twelve common letters and the blank occur, in either case."""
+    return F.array(*[F.length(line) - F.length(F.translate(line, c, "")) for c in (" ", *(x + x.upper() for x in "etaoinsrhdlu"))])
 
 
 def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -105,9 +112,14 @@ def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
     texts = gated(texts, "h", ids).join(ids, "h", "left_semi").select("h", "line").distinct()
-    texts = stored(texts)
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(within(F.col("x"), F.col("y"), edits)).select(text_key(F.col("x")).alias("u"), text_key(F.col("y")).alias("v"))
+    texts = stored(texts.select("h", text_key(F.col("line")).alias("k"), F.split("line", "").alias("chars"), letters(F.col("line")).alias("letters")))
+    # an edit moves at most two letter counts by one, so pairs whose counts differ by more need no comparison
+    few = texts.select("h", "letters")
+    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), F.lit(0), lambda a, v: a + v)
+    pairs = pairs.join(few.select(F.col("h").alias("a"), F.col("letters").alias("p")), "a").join(few.select(F.col("h").alias("b"), F.col("letters").alias("q")), "b")
+    pairs = stored(pairs.where(apart <= 2 * edits).select("a", "b").distinct())
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("k").alias("u"), F.col("chars").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("k").alias("v"), F.col("chars").alias("y")), "b")
+    return both.where(within(F.col("x"), F.col("y"), edits)).select("u", "v")
 
 
 def marked(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

@@ -47,9 +47,10 @@ def test_links_against_all_pairs(spark):
 def test_automaton_against_distance(spark):
     r = random.Random(1)
     pairs = [("".join(r.choice("ab") for _ in range(r.randint(0, 12))), "".join(r.choice("ab") for _ in range(r.randint(0, 12)))) for _ in range(400)]
-    df = spark.createDataFrame(pairs, "a string, b string")
+    chars = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "")).alias(f"{c}_chars")
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", chars("a"), chars("b")).cache()
     for edits in (1, 2, 3):
-        got = df.select("a", "b", ld.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
+        got = df.select("a", "b", ld.within(F.col("a_chars"), F.col("b_chars"), edits).alias("w")).collect()
         assert all(x.w == (distance(x.a, x.b) <= edits) for x in got), edits
 
 
