@@ -8,9 +8,13 @@ slots it needs: about COORDINATES * (ln COORDINATES + 2) darts whatever its leng
 probability equal to their weighted Jaccard similarity. Bands of ROWS coordinates are joined.
 
 Exact copies are one class from the start (128-bit key of the text), so a group of copies costs no links. In each band
-bucket every text is linked to the bucket's least text, and those that this fails to verify to their neighbours in an
-order by the other coordinates: links grow as the rows do, never as pairs. Every link is verified on the texts' own
-shingles: weighted Jaccard >= 0.8. Classes are the connected components; the least doc_id stays.
+bucket every text is compared with the bucket's least text. Where that leaves a bucket in several classes, further
+texts of it become hubs, eight times as many in each pass, drawn by a hash; a hub is compared with all texts of the
+bucket that are in another class. It ends when each bucket is one class or each of its texts has been a hub: no pair of
+a bucket is left out but those already in one class, or of lengths too far apart to be similar. So copies of one text
+cost links as the rows grow, and only texts that meet in a bucket and are really different are compared in pairs.
+Every link is verified on the texts' own shingles: weighted Jaccard >= 0.8. Classes are the connected components; the
+least doc_id stays.
 
 Nulls, odd rows: a null text links with nothing; texts without words are near only to their exact copies; equal
 (doc_id, text) rows are one document; a null doc_id is the least of a class only if there is no other.
@@ -30,7 +34,7 @@ from tapeloom.llm import shingles
 from tapeloom.llm._shared import components, gated, stored, table, text_key
 from tapeloom.llm.shingles import mix
 
-SIMILAR, WORDS, BANDS, ROWS = 0.8, 5, 24, 5
+SIMILAR, WORDS, BANDS, ROWS, PASS = 0.8, 5, 24, 5, 3
 COORDINATES = BANDS * ROWS
 _U = np.uint64
 _FIRST = 18  # the first time slot ends at 2 ** -_FIRST; slot i ends at 2 ** (i - _FIRST)
@@ -115,11 +119,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(np.bincount(doc, minlength=b - a) > 0)
             sig = signatures(units, doc, b - a)[keep]
             h = bands(sig)
-            order = np.roll(h, -1, 1)  # the next band's bucket orders the texts of this one
+            size = np.bincount(doc, minlength=b - a)[keep].astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(h.ravel().view(np.int64)), pa.array(order.ravel().view(np.int64)),
+                pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(size, BANDS)),
                 nodes.slice(a, b - a).take(pa.array(np.repeat(keep, BANDS))),
-            ], ["bucket", "near", "node"])
+            ], ["bucket", "size", "node"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,23 +161,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """Verified links (u, v) between distinct texts; texts: (node, text), copies allowed."""
-    found = stored(texts.where("text is not null").select("node", "text").mapInArrow(_buckets, "bucket long, near long, node binary"))
+    """Links (u, v) between distinct texts whose components are the classes; texts: (node, text), copies allowed."""
+    found = stored(texts.where("text is not null").select("node", "text").mapInArrow(_buckets, "bucket long, size int, node binary"))
     hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     members = stored(found.join(hubs, "bucket").distinct())  # buckets of two texts or more
     star = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     of = members.select("node").distinct()
     sets = stored(gated(texts, "node", of).join(of, "node").dropDuplicates(["node"]).mapInArrow(_shingle_sets, "node binary, units binary"))
-    first = stored(verified(star, sets))
-    failed = first.where("not ok").select(F.col("u").alias("node"), F.col("v").alias("hub"))
-    # those whose hub is not similar: neighbours in the order of the next band, in slices of the bucket by that order
-    part = members.join(failed.withColumn("failed", F.lit(True)), ["node", "hub"], "left").withColumn("slice", F.shiftright("near", 59))
-    w = Window.partitionBy("bucket", "slice").orderBy("near", "node")
-    part = part.withColumns({f"x{k}": F.struct(F.lag("node", k).over(w).alias("other"), F.lag("failed", k).over(w).alias("too")) for k in (1, 2)})
-    chain = part.select("node", "failed", F.explode(F.array("x1", "x2")).alias("x")).where("x.other is not null and (failed or x.too)").select("node", F.col("x.other").alias("other"))
-    chain = chain.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    second = verified(stored(chain), sets)
-    return stored(first.where("ok").select("u", "v").unionByName(second.where("ok").select("u", "v")))
+    done = stored(verified(star, sets))
+    linked = done.where("ok").select("u", "v")
+    # the leading zero bits of a hash: each level holds twice as many texts as the next
+    level = F.lit(64) - F.length(F.bin(F.xxhash64("bucket", "node")))
+    rest = members.where("node <> hub").select("bucket", "node", "size", level.alias("level"))
+    at = 0
+    while True:
+        roots = stored(components(linked))
+        now = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("level").alias("top")).where(f"low <> high and top >= {at}").select("bucket", "top")
+        rest = stored(now.join(split, "bucket").select("bucket", "node", "size", "level", "root", "top"))
+        if rest.isEmpty():
+            return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        hub = rest.where(F.col("top") - F.col("level") >= at).where(F.col("top") - F.col("level") < at + PASS)
+        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "level", "root")])
+        pairs = rest.join(hub, "bucket").where("root <> hub_root and (level < hub_level or level = hub_level and node < hub_node)")
+        pairs = pairs.where(F.least("size", "hub_size") >= SIMILAR * F.greatest("size", "hub_size") - 1e-9)
+        pairs = pairs.select(F.greatest("node", "hub_node").alias("u"), F.least("node", "hub_node").alias("v")).distinct()
+        new = stored(verified(stored(pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")), sets))
+        done = done.unionByName(new)
+        linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new.where("ok").select("u", "v"))
+        rest, at = rest.select("bucket", "node", "size", "level"), at + PASS
 
 
 def classes(docs: DataFrame) -> DataFrame:

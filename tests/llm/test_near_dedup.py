@@ -75,6 +75,23 @@ def test_classes_against_all_pairs(docs_of, rows):
     assert alone[0].component_id == 1 and alone[0].kept
 
 
+def test_copies_unlike_their_hub_against_all_pairs(docs_of):
+    """Edited copies of one text, near to it and mostly not to each other, and texts that share a long passage."""
+    rows, r = [], random.Random(8)
+    for g in range(12):
+        base = words(500 + g, 100)
+        rows.append((1000 * g, base, "a"))
+        for c in range(1, 25):
+            w = base.split()
+            for i in r.sample(range(100), 2):
+                w[i] = f"new{r.randrange(10**6)}"
+            rows.append((1000 * g + c, " ".join(w), "a"))
+    passage = words(77, 80)
+    rows += [(50_000 + i, passage + " " + words(7000 + i // 2, 36) + f" end{i}", "a") for i in range(40)]
+    want = {row[0]: c for row, c in zip(rows, brute(rows))}
+    assert {r.doc_id: r.component_id for r in n.classes(docs_of(rows)).collect()} == want
+
+
 def test_deduplicated_keeps_one_of_each_class(docs_of, rows):
     docs = docs_of(rows)
     out = n.deduplicated(docs)
