@@ -4,7 +4,9 @@ The benchmark's word trigrams fill a bitmap of fixed size, the only thing broadc
 keeps the trigrams that pass it; joined with the benchmark's, they give how often each occurs in all documents.
 Of every BLOCK consecutive trigrams of an item the PER_BLOCK rarest are its seeds, so each stretch of an item is
 findable and common phrases start no work. A document that holds a seed is aligned with the item around it: match 2,
-mismatch and gap -1, over twice the item's words; a score of at least SCORE is a leak.
+mismatch and gap -1, over twice the item's words. A leak is a score of at least SCORE of the item's perfect one, or an
+aligned stretch whose own score reaches that of LONG matching words: a long copied run is a leak however small its
+share of the item. The score reported is the share of the perfect one, so long partial copies may lie below SCORE.
 
 Equal texts are aligned once. A hot seed or item only makes many rows of a join that adaptive execution splits.
 Nulls, odd rows: null or wordless texts and items match nothing; an item of fewer than three words matches only a text of exactly its
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm import shingles
 from tapeloom.llm._shared import gated, stored, table, text_key
 
-N, BLOCK, PER_BLOCK, SCORE, BITS = 3, 4, 2, 0.5, 24
+N, BLOCK, PER_BLOCK, SCORE, LONG, BITS = 3, 4, 2, 0.5, 13, 24
+STEP = 8  # starts are rounded down to multiples of it; the window's end makes up for that
 
 
 def _grams(bits: np.ndarray | None):
@@ -61,7 +64,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, items = batch.column("text").to_pylist(), batch.column("item_text").to_pylist()
         starts = batch.column("starts").to_pylist()
-        scores, ends = [], []
+        scores, matched, ends = [], [], []
         for text, item, around in zip(texts, items, starts):
             d, t = shingles.words([text])[0], shingles.words([item])[0]
             n, best, end = len(t), 0, 0
@@ -77,8 +80,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if score > best:
                     best, end = score, a + stop
             scores.append(best / (2 * max(n, 1)))
+            matched.append(best)
             ends.append(end)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("item"), pa.array(scores, pa.float64()), pa.array(ends, pa.int32())], ["node", "item", "score", "end_word"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("item"), pa.array(scores, pa.float64()), pa.array(matched, pa.int32()), pa.array(ends, pa.int32())], ["node", "item", "score", "matched", "end_word"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
@@ -97,13 +101,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
     often = hits.groupBy("gram").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("key", F.floor(F.col("at") / BLOCK)).orderBy("often", "at"))
     seeds = grams.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= PER_BLOCK).select("gram", F.col("key").alias("item"), "at")
-    near = hits.join(seeds, "gram").select("node", "item", (F.floor((F.col("doc_at") - F.col("at")) / 8) * 8).cast("int").alias("start"))
+    near = hits.join(seeds, "gram").select("node", "item", (F.floor((F.col("doc_at") - F.col("at")) / STEP) * STEP).cast("int").alias("start"))
     pairs = stored(near.groupBy("node", "item").agg(F.collect_set("start").alias("starts")))
     of = pairs.select("node").distinct()
     found = gated(texts.withColumnRenamed("key", "node"), "node", of).join(of, "node").dropDuplicates(["node"])
     work = pairs.join(found, "node").join(items.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
-    scored = work.select("node", "item", "text", "item_text", "starts").mapInArrow(_aligned, "node binary, item binary, score double, end_word int")
-    return stored(scored.where(F.col("score") >= least))
+    scored = work.select("node", "item", "text", "item_text", "starts").mapInArrow(_aligned, "node binary, item binary, score double, matched int, end_word int")
+    return stored(scored.where((F.col("score") >= least) | (F.col("matched") >= 2 * LONG)).drop("matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:

@@ -48,3 +48,12 @@ def test_leaks(docs_of, benchmark):
 def test_empty(docs_of, benchmark):
     assert d.contaminated(docs_of([]), benchmark).count() == 0
     assert d.contaminated(docs_of(ODD), benchmark.limit(0)).count() == 0
+
+
+def test_long_partial_copies(spark, docs_of):
+    items = [(1, words(900, 59), "x"), (2, words(901, 300), "x"), (3, words(902, 300), "x")]
+    part = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    docs = docs_of([(k, words(910 + k, 50) + " " + p + " " + words(920 + k, 50), "a") for k, p in enumerate([part(0, 9, 38), part(1, 100, 240), part(2, 50, 56)])])
+    bench = spark.createDataFrame(items, "item_id long, text string, key string")
+    got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, bench).collect()}
+    assert got.keys() == {(0, 1), (1, 2)} and all(0.4 < s < 0.5 for s in got.values())
