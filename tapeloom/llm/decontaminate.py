@@ -70,7 +70,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, best, end = len(t), 0, 0
             spans: list[list[int]] = []
             for s in sorted(around):  # stretches that may hold the item, merged where they meet
-                a, b = max(0, s - n // 2 - 2), min(len(d), s + n + n // 2 + 2)
+                a, b = max(0, s - n // 2 - 2), min(len(d), s + STEP - 1 + n + n // 2 + 2)
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(b, spans[-1][1])
                 else:

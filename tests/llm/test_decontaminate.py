@@ -57,3 +57,10 @@ def test_long_partial_copies(spark, docs_of):
     bench = spark.createDataFrame(items, "item_id long, text string, key string")
     got = {(r.doc_id, r.item_id): r.score for r in d.contaminated(docs, bench).collect()}
     assert got.keys() == {(0, 1), (1, 2)} and all(0.4 < s < 0.5 for s in got.values())
+
+
+def test_short_items_at_every_offset(spark, docs_of):
+    items = [(n, words(950 + n, n), "x") for n in (3, 4, 5)]
+    docs = docs_of([(100 * n + k, f"{words(960, 16 + k)} {t} {words(961, 20)}", "a") for n, t, _ in items for k in range(8)])
+    bench = spark.createDataFrame(items, "item_id long, text string, key string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()} == {(100 * n + k, n) for n in (3, 4, 5) for k in range(8)}
