@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of element paths. Every element of
 importance (the entropy of the child sequences it is seen with) and every text node a content importance (the
 entropy of its texts over the pages); a branch's importance mixes its own with the mean of what lies below it.
 Hosts with few pages lean on the tree of all hosts. Branches whose elements say by name what they are (navigation,
-footers, adverts, forms, comments and the like) go; of the rest, what stands inside an article or main element
-stays, and elsewhere a branch stays if its importance reaches KEEP. Text blocks left are joined in page order.
+footers, adverts, forms, comments and the like) go, but never html, body, main, article, a branch that contains main or
+article, or a form around most of the page's text. Everything else, inside articles too, stays if its branch's importance reaches KEEP. Text
+blocks left are joined in page order.
 
 Trees are built by aggregation alone: pages send counts of (host, path, kind, hash), summed first inside each batch;
 entropy needs only sum(c) and sum(c log c), so no host's pages ever meet in one task. A page then needs the low
@@ -93,22 +94,35 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
     return out
 
 
-def named_boilerplate(path: tuple[str, ...]) -> bool:
+MAIN = ("html", "body", "main", "article")
+
+
+def wrappers(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+    """Branches of a page that no name drops: those with main or article in them, and forms around most of its text."""
+    out: set[tuple[str, ...]] = set()
+    held: Counter = Counter()
+    for path, text in found:
+        tags = [x.partition(" ")[0] for x in path]
+        last = max((k for k, t in enumerate(tags, 1) if t in ("main", "article")), default=0)
+        out.update(path[:k] for k in range(1, last + 1))
+        held.update({path[:k]: len(text) for k, t in enumerate(tags, 1) if t == "form"})
+    total = sum(len(t) for _, t in found)
+    return out | {p for p, n in held.items() if 2 * n > total}
+
+
+def named_boilerplate(path: tuple[str, ...], spared: set[tuple[str, ...]]) -> bool:
     inside = False
-    for label in path:
+    for k, label in enumerate(path, 1):
         tag, _, rest = label.partition(" ")
-        if tag in DROP_TAGS or tag == "header" and not inside:
-            return True
+        if tag not in MAIN and path[:k] not in spared:
+            if tag in DROP_TAGS or tag == "header" and not inside:
+                return True
+            if rest and not DROP_WORDS.isdisjoint(w.lower() for w in WORDS.findall(rest)):
+                return True
         inside = inside or tag in ("article", "main")
-        if rest and not DROP_WORDS.isdisjoint(w.lower() for w in WORDS.findall(rest)):
-            return True
     return False
 
 
-def in_article(path: tuple[str, ...]) -> bool:
-    return any(x.partition(" ")[0] in ("article", "main") for x in path)
-
-
 def _key(path: tuple[str, ...]) -> int:
     return _hash("\1".join(WORDS.sub(lambda m: m.group().lower(), x) for x in path))
 
@@ -171,7 +185,9 @@ def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES) -> DataFrame:
 
 
 def extract_text(page: str | None, low: set[int]) -> str:
-    return " ".join(t for p, t in blocks(page) if not named_boilerplate(p) and (in_article(p) or not any(_key(p[:k]) in low for k in range(1, len(p) + 1))))
+    found = blocks(page)
+    spared = wrappers(found)
+    return " ".join(t for p, t in found if not named_boilerplate(p, spared) and not any(_key(p[:k]) in low for k in range(1, len(p) + 1)))
 
 
 def extract(pages: DataFrame, keep: float = KEEP) -> DataFrame:

@@ -32,3 +32,14 @@ def test_markup(page, want):
 
 def test_very_long_page():
     assert len(h.blocks("<p>" + "word " * 200_000)[0][1]) == 999_999
+
+
+def test_style_tree_judges_inside_articles(spark):
+    page = "<body><main><article><p>Body number {n} says {n}</p><div class='k7'>Read more on this site</div></article></main></body>"
+    df = spark.createDataFrame([(k, "http://s.org/", page.format(n=k)) for k in range(60)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == {k: f"Body number {k} says {k}" for k in range(60)}
+
+
+@pytest.mark.parametrize("page", ["<body class='single has-sidebar comments-open'><p>All of it", "<div class='content-with-sidebar'><article class='share'><p>All of it</article></div>", "<body><form><div><p>All of it</div></form>"])
+def test_names_never_drop_the_article(page):
+    assert h.extract_text(page + "<div class='sidebar'>x</div>", set()) == "All of it"
