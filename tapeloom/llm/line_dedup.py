@@ -7,8 +7,9 @@ match can have. What meets is verified with a banded bit-parallel automaton: one
 and one word for each number of errors, advanced one character at a time.
 
 Exact copies collapse before segments are made, so a common line costs what a rare one does. In a document's lines,
-all but the first occurrence (least doc_id, then line) of each class go. Lines shorter than LEAST characters only
-match exactly; blank lines are left alone.
+all but the first occurrence (least doc_id, then line) of each class go. The edits allowed depend on the longer line:
+EDITS from LEAST characters on, one below; lines under SHORT, where one edit makes another word or number, only match
+exactly; blank lines are left alone.
 
 Nulls, odd rows: a null text has no lines; rows of one doc_id are one document, equal (doc_id, line number) one
 occurrence; a null doc_id is the least; very long lines are segmented and compared whole.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm._shared import components, gated, stored, table, text_key
 
-EDITS, LEAST = 2, 32
+EDITS, LEAST, SHORT = 2, 32, 12
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -99,8 +100,15 @@ def letters(line: Column) -> Column:
 
 
 def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(u, v) text keys of different lines within `edits` edits; lines: a column `line`."""
-    d = lines.select("line").where(F.length("line") >= least).distinct().select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
+    """(u, v) text keys of different lines within the edits their lengths allow; lines: a column `line`."""
+    size = F.length("line")
+    long = _links(lines.where(size >= least - edits), edits, least)  # with the lines that are just shorter than their partners
+    return long.unionByName(_links(lines.where((size >= SHORT) & (size < least)), min(edits, 1), SHORT)).distinct()
+
+
+def _links(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(u, v) text keys of different lines within `edits` edits, the longer of `least` characters or more."""
+    d = lines.select("line").distinct().select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
     own, looked = _keys(F.col("line"), F.col("n"), edits)
     made = d.select("h", F.array(*own).alias("own"), F.array(*looked).alias("looked"))
     cells = made.select("h", F.posexplode(F.concat("own", "looked")).alias("at", "key")).where("key is not null")
@@ -110,7 +118,7 @@ def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # the texts of the lines that met
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = lines.select("line").where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    texts = lines.select("line").withColumn("h", F.xxhash64("line"))
     texts = gated(texts, "h", ids).join(ids, "h", "left_semi").select("h", "line").distinct()
     texts = stored(texts.select("h", text_key(F.col("line")).alias("k"), F.split("line", "").alias("chars"), letters(F.col("line")).alias("letters")))
     # an edit moves at most two letter counts by one, so pairs whose counts differ by more need no comparison
@@ -119,7 +127,7 @@ def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     pairs = pairs.join(few.select(F.col("h").alias("a"), F.col("letters").alias("p")), "a").join(few.select(F.col("h").alias("b"), F.col("letters").alias("q")), "b")
     pairs = stored(pairs.where(apart <= 2 * edits).select("a", "b").distinct())
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("k").alias("u"), F.col("chars").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("k").alias("v"), F.col("chars").alias("y")), "b")
-    return both.where(within(F.col("x"), F.col("y"), edits)).select("u", "v")
+    return both.where(F.greatest(F.size("x"), F.size("y")) >= least).where(within(F.col("x"), F.col("y"), edits)).select("u", "v")
 
 
 def marked(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

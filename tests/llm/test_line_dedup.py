@@ -70,3 +70,16 @@ def test_empty_and_native(docs_of):
     assert ld.marked(docs_of([])).count() == 0
     plan = ld.marked(docs_of([(1, words(1, 50), "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_against_all_pairs(spark):
+    r = random.Random(3)
+    lines = ["Der eingeä erer.", "Der, eingeä erer.", "Heti eror anesti.", "Heti, eror anesti.", "eleven char", "eleven chars", "ten chars.", "ten chars!"]
+    for n in (11, 12, 20, 29, 30, 31, 32, 33):
+        base = "".join(r.choice("abcdé fg") for _ in range(n - 1)) + "e"
+        lines += [base, base[:5] + "y" + base[6:], base[:3] + base[4:], "z" + base, "z" + base[:7] + "z" + base[7:]]
+    allowed = lambda a, b: 2 if max(len(a), len(b)) >= 32 else 1 if min(len(a), len(b)) >= ld.SHORT else 0
+    want = {(a, b) for a in lines for b in lines if a < b and distance(a, b) <= allowed(a, b)}
+    name = {hashlib.md5(s.encode()).digest(): s for s in lines}
+    got = {tuple(sorted((name[bytes(x.u)], name[bytes(x.v)]))) for x in ld.near_links(spark.createDataFrame([(s,) for s in lines], "line string")).collect()}
+    assert got == want and ("Der eingeä erer.", "Der, eingeä erer.") in got
