@@ -286,7 +286,7 @@ class Trader(Site):
             except ValueError as e:
                 self.fail(str(e))
             if order is not None and truthy(when):
-                ledger.order(self.node.uid, order, i)
+                ledger.place(self.node.uid, order, i)
         return 0.0
 
 
