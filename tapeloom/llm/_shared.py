@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row(df: DataFrame, *but: str) -> Column:
+    """All columns of df but those named as one struct, so that no name of theirs meets a name of an operator's."""
+    gone = {c.lower() for c in but}
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]).alias("row")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the cluster names none (tests)."""
+    """The folder that the driver and all executors share.
+
+    It is spark.checkpoint.dir, else the context's checkpoint folder. If a session names neither, one is made on this
+    machine where driver and executors are one process (a local master); on a cluster that would scatter the tables
+    over the machines' own disks, so it raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tapeloom-")
         sc.setCheckpointDir(named)
     return named
@@ -73,6 +90,30 @@ def bucket(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of each run of equal keys (integers) in sorted batches; a run may lie over several batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    whole = lambda: held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.r_[0, np.flatnonzero(new)].tolist()
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(c[a].item() for c in columns)
+            if held and key != last:
+                yield last, whole()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, whole()
+
+
 GATE = 1 << 20
 
 

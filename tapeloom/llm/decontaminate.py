@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shingles
-from tapeloom.llm._shared import gated, stored, table, text_key
+from tapeloom.llm._shared import gated, row, stored, table, text_key
 
 N, BLOCK, PER_BLOCK, SCORE, LONG, BITS = 3, 4, 2, 0.5, 13, 24
 STEP = 8  # starts are rounded down to multiples of it; the window's end makes up for that
@@ -121,8 +121,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """docs without the documents that leak."""
-    bad = leaks(docs, benchmark, least).select(F.col("node").alias("_node")).distinct()
-    return docs.withColumn("_node", text_key(F.col("text"))).join(bad, "_node", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = leaks(docs, benchmark, least).select("node").distinct()
+    return docs.select(row(docs), text_key(F.col("text")).alias("node")).join(bad, "node", "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ filters is counted in the least one only, so groups send sums and local componen
 label are one node with a count.
 
 Nulls, odd rows: a null label, a null or empty vector, a zero vector or one with null or non-finite components links
-with nothing and is its own component; vectors of different lengths never link; repeated rows are vectors of their own.
+with nothing and is its own component; vectors of different lengths never link; repeated rows are vectors of their own
+that link, and rows of one vec_id are one name with a row each, so ties in the least vec_id change nothing. A very long
+vector is compared whole; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import components, stored, table
+from tapeloom.llm._shared import components, runs, stored, table
 
 COSINE, HITS, LEAST, LOAD, BLOCK, PARTS = 0.98, 12, 5, 64, 1024, 2
 
@@ -106,30 +108,45 @@ def _filtered(kind: str, parts: int, size: int, hits: float, least: int):
 
 
 def _linked(kind: str, least_cosine: float):
-    def run(d: pd.DataFrame) -> pd.DataFrame:
+    def group(f: int, across: bool, rows: pa.RecordBatch) -> tuple[list[bytes], list[int], list[bytes]]:
         """Links inside one pair of blocks of one filter: for each node the weight of those first met here, and its local component."""
-        f, i, j = int(d["filter"].iloc[0]), int(d["i"].iloc[0]), int(d["j"].iloc[0])
-        nodes, w = d["node"].tolist(), d["copies"].to_numpy()
-        x = _unit(d["vector"], kind)
+        raw = rows.column("vector").to_pylist()
+        x = _unit(raw, kind)
         near = x @ x.T >= least_cosine
         np.fill_diagonal(near, False)
-        if i != j:  # pairs inside a block are another group's
-            own = d["block"].to_numpy()
+        if across:  # pairs inside a block are another group's
+            own = rows.column("block").to_numpy()
             near &= own[:, None] != own[None, :]
-        lower = [np.asarray(v)[np.asarray(v) < f] for v in d["filters"]]
+        on = np.flatnonzero(near.any(1))
+        if not len(on):
+            return [], [], []
+        near, nodes = near[np.ix_(on, on)], rows.column("node").take(pa.array(on)).to_pylist()
+        w = rows.column("copies").to_numpy()[on]
+        lower = [v[v < f] for v in (np.asarray(v) for v in rows.column("filters").take(pa.array(on)).to_pylist())]
         ids = np.unique(np.concatenate(lower))
-        has = np.zeros((len(d), len(ids)), np.float32)
+        has = np.zeros((len(on), len(ids)), np.float32)
         for k, v in enumerate(lower):
             has[k, np.searchsorted(ids, v)] = 1
         links = ((near & (has @ has.T == 0)) * w).sum(1)  # pairs that share no lesser filter
-        root = np.arange(len(d))
+        root = np.arange(len(on))
         while True:  # local components: the least row reachable
-            least = np.minimum(root, np.where(near, root[None, :], len(d)).min(1, initial=len(d)))
+            least = np.minimum(root, np.where(near, root[None, :], len(on)).min(1))
             if (least == root).all():
                 break
             root = least
-        on = np.flatnonzero(near.any(1))
-        return pd.DataFrame({"node": [nodes[k] for k in on], "links": links[on], "hub": [nodes[root[k]] for k in on]})
+        return nodes, links.tolist(), [nodes[k] for k in root]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list] = [], [], []
+        kinds = pa.binary(), pa.int64(), pa.binary()
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["node", "links", "hub"])
+        for (_, _, f, i, j), rows in runs(batches, ("label", "bytes", "filter", "i", "j")):
+            for to, new in zip(out, group(f, i != j, rows) if rows.num_rows > 1 else ((), (), ())):
+                to.extend(new)
+            if len(out[0]) > 10_000:
+                yield made()
+                out = [], [], []
+        yield made()
 
     return run
 
@@ -155,7 +172,9 @@ def links(vectors: DataFrame, cosine: float = COSINE, hits: float = HITS, load:
     held = each.groupBy("label", "bytes", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     each = each.join(held, ["label", "bytes", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    part = each.groupBy("label", "bytes", "filter", "i", "j").applyInPandas(_linked(kind, cosine), "node binary, links long, hub binary")
+    group = ("label", "bytes", "filter", "i", "j")
+    each = each.select(*group, "block", "node", "copies", "vector", "filters").repartition(*group).sortWithinPartitions(*group)
+    part = each.mapInArrow(_linked(kind, cosine), "node binary, links long, hub binary")
     part = stored(part)
     count = part.groupBy("node").agg(F.sum("links").alias("links"))
     count = nodes.select("node", "copies").join(count, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"))

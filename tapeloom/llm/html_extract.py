@@ -3,17 +3,21 @@
 The pages of a host are merged into one tree of element paths. Every element of the tree has a presentation
 importance (the entropy of the child sequences it is seen with) and every text node a content importance (the
 entropy of its texts over the pages); a branch's importance mixes its own with the mean of what lies below it.
-Hosts with few pages lean on the tree of all hosts. Branches whose elements say by name what they are (navigation,
-footers, adverts, forms, comments and the like) go, but never html, body, main, article, a branch that contains main or
-article, or a form around most of the page's text. Everything else, inside articles too, stays if its branch's importance reaches KEEP. Text
-blocks left are joined in page order.
+Hosts with few pages lean on the tree of all hosts. What an element is called (nav, footer, class names such as
+comments or sidebar) is one more feature of its presentation: it lowers a branch's importance by the factor NAMED, unless
+the branch holds the host's main or article elements or most of the host's text. A branch goes, inside articles as
+well as outside, if its importance and that of all text in it lie below KEEP. Text blocks left are joined in page order.
 
 Trees are built by aggregation alone: pages send counts of (host, path, kind, hash), summed first inside each batch;
-entropy needs only sum(c) and sum(c log c), so no host's pages ever meet in one task. A page then needs the low
-branches of its host, one map per host, joined by host.
-
-Null html or url: empty text, host ''. Repeated rows are extracted each on their own. Truncated or unbalanced markup
-is read as browsers do: end tags without a start are ignored, open elements end with the page.
+entropy needs only sum(c) and sum(c log c), so no host's pages ever meet in one task. Numbers of two
+digits or more in names count as one, so numbered elements are one node of the tree. A page then needs its host's decisions that differ from what
+the names alone say: the topmost low branches without such a name, and the branches with one that stay. They number
+with the site's templates, not with its pages.
+
+Null html or url: empty text, host ''. Repeated rows are extracted each on their own; ties cannot arise, as no row is
+chosen over another. Very long pages are read whole; an empty table gives no rows. Columns of other names pass through;
+`text` and `n_chars` are replaced. Truncated or unbalanced markup is read as browsers do: end tags without a start are
+ignored, open elements end with the page, a > inside a quoted attribute ends nothing.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import stored, table
+from tapeloom.llm._shared import row, stored, table
 from tapeloom.llm.url_filters import host_of
 
-KEEP, PRIOR_PAGES, DAMP = 0.35, 30, 0.5
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|xmp)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+KEEP, PRIOR_PAGES, DAMP, NAMED = 0.35, 30, 0.5, 0.3
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|object|select|xmp)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S | re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -43,7 +48,7 @@ BARRIER = frozenset("article aside body div footer form header li main nav ol se
 #: Element names and name parts that say "not the article".
 DROP_TAGS = frozenset("aside button dialog footer form head menu nav".split())
 DROP_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form menu modal nav navbar navigation newsletter notice notices popup promo related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS, DIGITS = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]{2,}")
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
@@ -86,8 +91,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
                 if stack[i][0] in BARRIER:
                     break
         if tag not in VOID and not m.group(4).endswith("/"):
-            named = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in ATTR.findall(m.group(4)))
-            stack.append((tag, f"{tag} {named}".strip()))
+            names = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in ATTR.findall(m.group(4)) if k.lower() in ("class", "id", "role"))
+            stack.append((tag, f"{tag} {names}".strip()))
     if at < len(page):
         text.append(html.unescape(page[at:]))
     end()
@@ -95,36 +100,21 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
 
 
 MAIN = ("html", "body", "main", "article")
+PATHS = 100_000  # paths whose keys a worker remembers
 
 
-def wrappers(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
-    """Branches of a page that no name drops: those with main or article in them, and forms around most of its text."""
-    out: set[tuple[str, ...]] = set()
-    held: Counter = Counter()
-    for path, text in found:
-        tags = [x.partition(" ")[0] for x in path]
-        last = max((k for k, t in enumerate(tags, 1) if t in ("main", "article")), default=0)
-        out.update(path[:k] for k in range(1, last + 1))
-        held.update({path[:k]: len(text) for k, t in enumerate(tags, 1) if t == "form"})
-    total = sum(len(t) for _, t in found)
-    return out | {p for p, n in held.items() if 2 * n > total}
-
-
-def named_boilerplate(path: tuple[str, ...], spared: set[tuple[str, ...]]) -> bool:
-    inside = False
-    for k, label in enumerate(path, 1):
-        tag, _, rest = label.partition(" ")
-        if tag not in MAIN and path[:k] not in spared:
-            if tag in DROP_TAGS or tag == "header" and not inside:
-                return True
-            if rest and not DROP_WORDS.isdisjoint(w.lower() for w in WORDS.findall(rest)):
-                return True
-        inside = inside or tag in ("article", "main")
-    return False
+def named(path: tuple[str, ...]) -> bool:
+    """Whether the last element of a path says by name that it isn't the article."""
+    tag, _, rest = path[-1].partition(" ")
+    if tag in MAIN:
+        return False
+    if tag in DROP_TAGS or tag == "header" and not any(x.partition(" ")[0] in ("article", "main") for x in path):
+        return True
+    return bool(rest) and not DROP_WORDS.isdisjoint(w.lower() for w in WORDS.findall(rest))
 
 
 def _key(path: tuple[str, ...]) -> int:
-    return _hash("\1".join(WORDS.sub(lambda m: m.group().lower(), x) for x in path))
+    return _hash(DIGITS.sub("0", "\1".join(path).lower()))
 
 
 def _hash(s: str) -> int:
@@ -133,16 +123,26 @@ def _hash(s: str) -> int:
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (host, path, ancestors and self, kind, hash): kind 0 a child sequence of an element, 1 a text of a text node."""
-    held: dict[tuple[str, ...], tuple[int, ...]] = {}
+    """Counts of (host, path, ancestors and self, kind, hash): kind 0 a child sequence of an element, 1 a text of a text node.
+
+    named: the ancestors (and self) that have a name of boilerplate; main: those with a main or article element in them.
+    chars: the length of all the texts counted.
+    """
+    held: dict[tuple[str, ...], tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = {}
 
-    def keys(path: tuple[str, ...]) -> tuple[int, ...]:
+    def keys(path: tuple[str, ...]) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
         if path not in held:
-            held[path] = tuple(_key(path[:k]) for k in range(1, len(path) + 1))
+            if len(held) > PATHS:
+                held.clear()
+            ends = range(1, len(path) + 1)
+            last = max((k for k in ends if path[k - 1].partition(" ")[0] in ("main", "article")), default=0)
+            up = tuple(_key(path[:k]) for k in ends)
+            held[path] = up, tuple(up[k - 1] for k in ends if named(path[:k])), up[:last]
         return held[path]
 
     for d in batches:
         n: Counter = Counter()
+        chars: Counter = Counter()
         for host, page in zip(d["host"], d["html"]):
             below: dict[tuple[str, ...], list[str]] = {}
             for path, text in blocks(page):
@@ -150,59 +150,95 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kids = below.setdefault(path[:k], [])
                     if not kids or kids[-1] != path[k]:
                         kids.append(path[k])
-                n[host, keys(path), 1, _hash(text)] += 1
+                key = host, keys(path), 1, _hash(text)
+                n[key] += 1
+                chars[key] += len(text)
             for path, kids in below.items():
-                n[host, keys(path), 0, _hash("\2".join(kids))] += 1
-        rows = [(host, up[-1] if up else 0, list(up), kind, h, v) for (host, up, kind, h), v in n.items()]
-        yield pd.DataFrame(rows, columns=["host", "path", "up", "kind", "hash", "n"])
+                n[host, keys(path), 0, _hash(DIGITS.sub("0", "\2".join(kids)))] += 1
+        rows = [(host, up[-1] if up else 0, list(up), list(bad), list(main), kind, h, v, chars[host, (up, bad, main), kind, h]) for (host, (up, bad, main), kind, h), v in n.items()]
+        yield pd.DataFrame(rows, columns=["host", "path", "up", "named", "main", "kind", "hash", "n", "chars"])
 
 
 def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES) -> DataFrame:
-    """(host, path, importance, most) of every element path of every host that holds text.
+    """(host, path, parents, named, importance, most) of every element path of every host that holds text.
 
-    A branch: DAMP parts its own presentation, the rest the mean content of the text nodes in it. A text node: its content.
-    most: the greatest content in it; a branch is noise only if nothing in it is important.
+    A branch: DAMP parts its own presentation, the rest the mean content of the text nodes in it; a text node: its content;
+    either is lowered by NAMED where its name counts against it. most: the greatest content in a branch, lowered likewise;
+    a branch is noise only if nothing in it is important. named: whether its name counts; stays_named: whether it has such a name.
     """
-    seen = pages.select("host", "html").mapInPandas(_observe, "host string, path long, up array<long>, kind int, hash long, n long")
-    seen = stored(seen.groupBy("host", "path", "up", "kind", "hash").agg(F.sum("n").alias("n")))
+    paths = "array<long>"
+    seen = pages.select("host", "html").mapInPandas(_observe, f"host string, path long, up {paths}, named {paths}, main {paths}, kind int, hash long, n long, chars long")
+    seen = stored(seen.groupBy("host", "path", "up", "named", "main", "kind", "hash").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")))
 
     def node(rows: DataFrame, *keys: str) -> DataFrame:
         """Entropy of what a node shows, 0 (always the same) to 1 (always new), and how often it is seen."""
-        c = rows.groupBy(*keys).agg(F.sum("n").cast("double").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+        c = rows.groupBy(*keys).agg(F.sum("n").cast("double").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("chars").alias("chars"))
         h = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-        return c.select(*keys, "m", h.alias("h"))
+        return c.select(*keys, "m", h.alias("h"), "chars")
 
-    per_host = node(seen, "host", "path", "up", "kind")
-    every = node(seen.groupBy("path", "kind", "hash").agg(F.sum("n").alias("n")), "path", "kind").select("path", "kind", F.col("h").alias("h_all"))
+    per_host = node(seen, "host", "path", "up", "named", "main", "kind")
+    every = node(seen.groupBy("path", "kind", "hash").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")), "path", "kind").select("path", "kind", F.col("h").alias("h_all"))
     weight = F.lit(float(prior))
     both = per_host.join(every, ["path", "kind"]).withColumn("imp", (F.col("m") * F.col("h") + weight * F.col("h_all")) / (F.col("m") + weight))
-    both = stored(both.select("host", "path", "up", "kind", "m", "imp"))
+    both = stored(both.select("host", "path", "up", "named", "main", "kind", "m", "chars", "imp"))
     style = both.where("kind = 0").groupBy("host", "path").agg(F.max("imp").alias("style"))
-    below = both.where("kind = 1").select("host", F.explode("up").alias("path"), "imp", "m")
-    content = below.groupBy("host", "path").agg((F.sum(F.col("imp") * F.col("m")) / F.sum("m")).alias("content"), F.max("imp").alias("most"))
-    tree = content.join(style, ["host", "path"], "left")
-    return tree.select("host", "path", F.when(F.col("style").isNull(), F.col("content")).otherwise(F.lit(DAMP) * F.col("style") + F.lit(1 - DAMP) * F.col("content")).alias("importance"), "most")
-
-
-def extract_text(page: str | None, low: set[int]) -> str:
-    found = blocks(page)
-    spared = wrappers(found)
-    return " ".join(t for p, t in found if not named_boilerplate(p, spared) and not any(_key(p[:k]) in low for k in range(1, len(p) + 1)))
+    below = both.where("kind = 1").select("host", F.posexplode("up").alias("depth", "path"), "up", "named", "main", "imp", "m", "chars")
+    content = below.groupBy("host", "path").agg(
+        (F.sum(F.col("imp") * F.col("m")) / F.sum("m")).alias("content"), F.max("imp").alias("most"), F.sum("chars").alias("chars"),
+        F.max(F.array_contains("named", F.col("path"))).alias("has_name"), F.max(F.array_contains("main", F.col("path"))).alias("holds"), F.first(F.slice("up", 1, F.col("depth"))).alias("parents"),
+    )
+    total = both.where("kind = 1").groupBy("host").agg(F.sum("chars").alias("total"))
+    tree = content.join(style, ["host", "path"], "left").join(total, "host")
+    counts = F.col("has_name") & ~F.col("holds") & (2 * F.col("chars") <= F.col("total"))
+    less = F.when(counts, F.lit(NAMED)).otherwise(F.lit(1.0))
+    imp = F.when(F.col("style").isNull(), F.col("content")).otherwise(F.lit(DAMP) * F.col("style") + F.lit(1 - DAMP) * F.col("content"))
+    return tree.select("host", "path", "parents", "has_name", (imp * less).alias("importance"), (F.col("most") * less).alias("most"))
+
+
+def exceptions(tree: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(host, low, high): topmost low branches without a name of boilerplate, and branches with one that aren't low."""
+    low = (F.col("importance") < keep) & (F.col("most") < keep)
+    t = tree.select("host", "path", "parents", "has_name", low.alias("low"))
+    known = t.where("low <> has_name")
+    bad = known.where("low").select("host", F.col("path").alias("above"))
+    inner = known.where("low").select("host", "path", F.explode("parents").alias("above")).join(bad, ["host", "above"], "left_semi").select("host", "path").distinct()
+    top = known.join(inner, ["host", "path"], "left_anti")
+    pick = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("path"))))
+    return top.groupBy("host").agg(pick(F.col("low")).alias("low"), pick(~F.col("low")).alias("high"))
+
+
+def extract_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks of a page that no low branch holds; low and high: the host's exceptions from what names say."""
+    gone: dict[tuple[str, ...], bool] = {(): False}
+
+    def noise(path: tuple[str, ...]) -> bool:
+        if path not in gone:
+            key = _key(path)
+            gone[path] = noise(path[:-1]) or key in low or key not in high and named(path)
+        return gone[path]
+
+    return " ".join(t for p, t in blocks(page) if not noise(p))
 
 
 def extract(pages: DataFrame, keep: float = KEEP) -> DataFrame:
     """pages (url, html, ...) with `text`, the main text of each page, and `n_chars`."""
-    d = pages.withColumn("_host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    tree = style_tree(d.select(F.col("_host").alias("host"), "html"))
-    low = tree.where((F.col("importance") < keep) & (F.col("most") < keep)).groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low"))
-    low = stored(low)
+    d = pages.select(row(pages, "text", "n_chars"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
+    few = stored(exceptions(style_tree(d.select("host", "html")), keep))
 
     @F.pandas_udf("string")
-    def main_text(pages: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series([extract_text(p, set(x) if x is not None else set()) for p, x in zip(pages, low)], dtype=object)
+    def main_text(pages: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        sets: dict[bytes, frozenset[int]] = {b"": frozenset()}
+
+        def of(x) -> frozenset[int]:
+            raw = b"" if x is None else np.asarray(x, np.int64).tobytes()
+            if raw not in sets:
+                sets[raw] = frozenset(x.tolist())
+            return sets[raw]
+
+        return pd.Series([extract_text(p, of(a), of(b)) for p, a, b in zip(pages, low, high)], dtype=object)
 
-    d = d.join(low, "_host", "left").withColumn("text", main_text("html", "_low"))
-    return d.withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_low")
+    d = d.join(few, "host", "left").select("row", main_text("html", "low", "high").alias("text"))
+    return d.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

@@ -6,13 +6,20 @@ segments and looks up, for its own and each shorter length within EDITS, just th
 match can have. What meets is verified with a banded bit-parallel automaton: one bit for each diagonal of the band
 and one word for each number of errors, advanced one character at a time.
 
-Exact copies collapse before segments are made, so a common line costs what a rare one does. In a document's lines,
-all but the first occurrence (least doc_id, then line) of each class go. The edits allowed depend on the longer line:
-EDITS from LEAST characters on, one below; lines under SHORT, where one edit makes another word or number, only match
-exactly; blank lines are left alone.
+Only segments that different lines share are kept. All lines of such a segment are first compared with its hub, the
+line that meets most others: the original, where many edited copies of one line meet. Classes are then contracted,
+and only lines of different classes that still share a segment are compared in pairs. So a group of near copies costs
+links as it grows, not pairs, and no pair that the segments bring together is left out but those in one class already.
+
+Exact copies collapse on the map side, so a common line costs what a rare one does. In a document's lines, all but the
+first occurrence (least doc_id, then line) of each class go. The edits allowed depend on the longer line: EDITS from
+LEAST characters on, one below; lines under SHORT, where one edit makes another word or number, only match exactly;
+blank lines are left alone.
 
 Nulls, odd rows: a null text has no lines; rows of one doc_id are one document, equal (doc_id, line number) one
-occurrence; a null doc_id is the least; very long lines are segmented and compared whole.
+occurrence, so repeated rows and ties keep the same line; a null doc_id is the least; very long texts and lines are
+segmented and compared whole; an empty table gives no rows. Only doc_id and text are read, whatever other columns are
+named.
 """
 
 from __future__ import annotations
@@ -59,19 +66,19 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[
     return own, looked
 
 
-def within(x: Column, y: Column, edits: int) -> Column:
-    """Whether two strings, given as columns of their characters, are within `edits` edits: 8 bits per error count.
+def within(padded: Column, y: Column, edits: int, pad: int = EDITS) -> Column:
+    """Whether two strings are within `edits` edits: 8 bits per error count.
 
-    The characters must be columns, not expressions, or they would be split again for each character.
+    y: a column of characters; padded: a column of the other's with `pad` (`edits` or more) empty strings before and
+    after them, which equal no character, so the band needs no bounds. Both must be columns, not expressions, or they
+    would be built again for each character.
     """
-    m, n = F.size(x), F.size(y)
+    m, n = F.size(padded) - 2 * pad, F.size(y)
     width = 2 * edits + 1
-    edge = F.array(*[F.lit("")] * edits)  # equal to no character, so the band needs no bounds
-    padded = F.concat(edge, x, edge)
 
     def row(j: Column) -> Column:  # which diagonals match at character j of y
         c = F.get(y, j - 1)
-        hits = [F.when(F.get(padded, j + d - 1) == c, F.lit(1 << d)).otherwise(0) for d in range(width)]
+        hits = [F.when(F.get(padded, j + (d - 1 + pad - edits)) == c, F.lit(1 << d)).otherwise(0) for d in range(width)]
         return reduce(lambda p, q: p + q, hits)
 
     def word(acc: Column, e: int) -> Column:
@@ -91,7 +98,8 @@ def within(x: Column, y: Column, edits: int) -> Column:
     start = F.lit(sum(sum(1 << (edits + i) for i in range(e + 1)) << (8 * e) for e in range(edits + 1)))
     rows = F.transform(F.sequence(F.lit(1), n), row)
     accepted = F.aggregate(rows, start, step, lambda acc: F.call_function("shiftright", word(acc, edits), (m - n + edits).cast("int")).bitwiseAND(1))
-    return (F.abs(m - n) <= edits) & F.when((n > 0) & (m > edits), accepted == 1).otherwise(F.levenshtein(F.array_join(x, ""), F.array_join(y, "")) <= edits)
+    plain = F.levenshtein(F.array_join(padded, ""), F.array_join(y, "")) <= edits
+    return (F.abs(m - n) <= edits) & F.when((n > 0) & (m > edits), accepted == 1).otherwise(plain)
 
 
 def letters(line: Column) -> Column:
@@ -99,35 +107,63 @@ def letters(line: Column) -> Column:
     return F.array(*[F.length(line) - F.length(F.translate(line, c, "")) for c in (" ", *(x + x.upper() for x in "etaoinsrhdlu"))])
 
 
+def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, h, own) of every segment that a line files (own) or looks up; h: hash of the line."""
+    n, made = F.col("n"), [[], []]
+    for e, on in ((edits, n >= least - edits), (min(edits, 1), (n >= SHORT) & (n < least))):  # long: with those just shorter than their partners
+        for to, keys in zip(made, _keys(F.col("line"), n, e)):
+            to += [F.when(on, k) for k in keys]
+    d = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
+    d = d.where(n >= min(SHORT, least - edits)).select("h", F.posexplode(F.array(*made[0], *made[1])).alias("at", "key"))
+    return d.where("key is not null").select("key", "h", (F.col("at") < len(made[0])).alias("own"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int, least: int) -> DataFrame:
+    """The pairs (u, v) of text keys that are within the edits their lengths allow."""
+    # an edit moves at most two letter counts by one, so pairs whose counts differ by more need no comparison
+    few = texts.select("k", "letters")
+    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), F.lit(0), lambda a, v: a + v)
+    p = pairs.join(few.select(F.col("k").alias("u"), F.col("letters").alias("p")), "u").join(few.select(F.col("k").alias("v"), F.col("letters").alias("q")), "v")
+    p = stored(p.where(apart <= 2 * edits).select("u", "v"))
+    both = p.join(texts.select(F.col("k").alias("u"), F.col("padded").alias("x")), "u").join(texts.select(F.col("k").alias("v"), F.col("chars").alias("y")), "v")
+    short, long = F.least(F.size("x") - 2 * edits, F.size("y")), F.greatest(F.size("x") - 2 * edits, F.size("y"))
+    near = lambda e: within(F.col("x"), F.col("y"), e, edits)
+    return both.where(F.when(long >= least, near(edits)).when(short >= SHORT, near(min(edits, 1))).otherwise(False)).select("u", "v")
+
+
 def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(u, v) text keys of different lines within the edits their lengths allow; lines: a column `line`."""
-    size = F.length("line")
-    long = _links(lines.where(size >= least - edits), edits, least)  # with the lines that are just shorter than their partners
-    return long.unionByName(_links(lines.where((size >= SHORT) & (size < least)), min(edits, 1), SHORT)).distinct()
-
-
-def _links(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(u, v) text keys of different lines within `edits` edits, the longer of `least` characters or more."""
-    d = lines.select("line").distinct().select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
-    own, looked = _keys(F.col("line"), F.col("n"), edits)
-    made = d.select("h", F.array(*own).alias("own"), F.array(*looked).alias("looked"))
-    cells = made.select("h", F.posexplode(F.concat("own", "looked")).alias("at", "key")).where("key is not null")
-    cells = stored(cells.select("key", "h", (F.col("at") <= edits).alias("own")))
-    filed = cells.where("own").select("key", F.col("h").alias("a"))
-    pairs = filed.hint("shuffle_hash").join(cells.select("key", F.col("h").alias("b")), "key").where("a <> b")
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """Links (u, v) between text keys of different lines whose components are the classes; lines: a column `line`.
+
+    Every link is within the edits its lines' lengths allow, or runs between two lines that such links connect.
+    """
+    cells = stored(_cells(lines, edits, least))
+    live = cells.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"))
+    live = stored(live.where("low <> high and own").select("key"))
+    met = gated(cells, "key", live).join(live, "key").groupBy("key", "h").agg(F.max("own").alias("own"))
+    met = stored(met)
     # the texts of the lines that met
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    ids = met.select("h").distinct()
     texts = lines.select("line").withColumn("h", F.xxhash64("line"))
     texts = gated(texts, "h", ids).join(ids, "h", "left_semi").select("h", "line").distinct()
-    texts = stored(texts.select("h", text_key(F.col("line")).alias("k"), F.split("line", "").alias("chars"), letters(F.col("line")).alias("letters")))
-    # an edit moves at most two letter counts by one, so pairs whose counts differ by more need no comparison
-    few = texts.select("h", "letters")
-    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), F.lit(0), lambda a, v: a + v)
-    pairs = pairs.join(few.select(F.col("h").alias("a"), F.col("letters").alias("p")), "a").join(few.select(F.col("h").alias("b"), F.col("letters").alias("q")), "b")
-    pairs = stored(pairs.where(apart <= 2 * edits).select("a", "b").distinct())
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("k").alias("u"), F.col("chars").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("k").alias("v"), F.col("chars").alias("y")), "b")
-    return both.where(F.greatest(F.size("x"), F.size("y")) >= least).where(within(F.col("x"), F.col("y"), edits)).select("u", "v")
+    edge = F.array(*[F.lit("")] * edits)
+    chars = F.split("line", "")
+    texts = stored(texts.select("h", text_key(F.col("line")).alias("k"), chars.alias("chars"), F.concat(edge, chars, edge).alias("padded"), letters(F.col("line")).alias("letters")))
+    met = stored(met.join(texts.select("h", "k"), "h").select("key", "k", "own"))
+    known = texts.select("k", "letters", "chars", "padded")
+    # hubs
+    n = met.groupBy("key").agg(F.count("*").alias("n"))
+    weight = met.join(n, "key").groupBy("k").agg(F.sum("n").alias("met"))
+    hubs = met.join(weight, "k").groupBy("key").agg(F.max(F.struct("met", "k")).alias("x")).select("key", F.col("x.k").alias("hub"))
+    star = stored(met.join(hubs, "key").where("k <> hub"))
+    pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    roots = stored(components(_verified(star.select(*pair("k", "hub")).distinct(), known, edits, least)))
+    # what the hubs leave apart; a hub has met all lines of its segments
+    now = star.join(roots, star.k == roots.node, "left").select("key", "k", "own", F.coalesce("root", "k").alias("root"))
+    split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("some")).where("low <> high and some").select("key")
+    now = stored(now.join(split, "key"))
+    rest = now.where("own").select("key", F.col("k").alias("o"), F.col("root").alias("o_root")).join(now.drop("own"), "key").where("root <> o_root")
+    more = _verified(rest.select(*pair("k", "o")).distinct(), known, edits, least)
+    return stored(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def marked(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

@@ -9,7 +9,10 @@ The running sum is made in two steps, so that no task needs a whole source: rows
 (source, size bin, salt) cells, and the cells' counts are summed over the far smaller table of cells.
 
 Nulls, ties, odd rows: a null source is a source of its own, last in order; a null text has size 0 and takes 0 words;
-repeated rows count each on their own; a source without words has target 0; an empty table gives an empty result.
+repeated rows count each on their own, and of equal rows any may be the one taken; documents of equal size go in the
+order of a hash of doc_id, null first; a very long text is one document like others, taken whole; a source without words
+has target 0; an empty table gives an empty result. Other columns pass through whatever their names; only columns named
+as ADDED are replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import bucket, stored, table
+from tapeloom.llm._shared import bucket, row, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 64
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def word_count(text):
@@ -54,35 +58,32 @@ def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3, salts: int = SALTS, s
     size: a column that holds the words, else they are counted from `text`. counted: rows like `docs` from which
     the cells' counts may be read more cheaply, such as a stored projection.
     """
-    def cells(d: DataFrame) -> DataFrame:
-        d = d.withColumn("mix_size", F.col(size) if size else word_count(F.col("text")))
-        return d.withColumns({
-            "mix_bin": F.floor(F.sqrt(F.col("mix_size").cast("double"))).cast("long"),
-            "mix_salt": bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), salts),
-        })
-
-    d = cells(docs)
-    cell = cells(counted if counted is not None else docs).groupBy("source", "mix_bin", "mix_salt").agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"))
+    def cells(d: DataFrame, *more) -> DataFrame:
+        words = F.col(size) if size else word_count(F.col("text"))
+        d = d.select(*more, "source", "doc_id", words.alias("words"), bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), salts).alias("salt"))
+        return d.withColumn("bin", F.floor(F.sqrt(F.col("words").cast("double"))).cast("long"))
+
+    cell = cells(counted if counted is not None else docs).groupBy("source", "bin", "salt").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
     per_source = targets(cell.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most).withColumnRenamed("source", "t_source")
-    before = Window.partitionBy("source").orderBy("mix_bin", "mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("c_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    before = Window.partitionBy("source").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     cell = cell.join(per_source, F.col("source").eqNullSafe(F.col("t_source")), "left")
-    cell = cell.select(F.coalesce("source", F.lit("")).alias("c_source"), F.col("source").isNull().alias("c_null"), F.col("mix_bin").alias("c_bin"), F.col("mix_salt").alias("c_salt"), "c_before", "source_size", "target")
-    d = d.withColumns({"mix_source": F.coalesce("source", F.lit("")), "mix_null": F.col("source").isNull()})
-    inside = Window.partitionBy("mix_source", "mix_null", "mix_bin", "mix_salt").orderBy("mix_size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    d = d.withColumn("mix_row", F.row_number().over(inside))
-    d = d.join(cell, (d.mix_source == cell.c_source) & (d.mix_null == cell.c_null) & (d.mix_bin == cell.c_bin) & (d.mix_salt == cell.c_salt))
+    cell = cell.select(F.coalesce("source", F.lit("")).alias("c_source"), F.col("source").isNull().alias("c_null"), F.col("bin").alias("c_bin"), F.col("salt").alias("c_salt"), "before", "source_size", "target")
+    d = cells(docs, row(docs, *ADDED)).withColumns({"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()})
+    inside = Window.partitionBy("name", "unnamed", "bin", "salt").orderBy("words", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
+    d = d.withColumn("nth", F.row_number().over(inside))
+    d = d.join(cell, (d.name == cell.c_source) & (d.unnamed == cell.c_null) & (d.bin == cell.c_bin) & (d.salt == cell.c_salt))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit("null"))), 1, 4), 16, 10).cast("double") / 65536
-    n = (F.col("c_before") + F.col("mix_row")).cast("double")
+    n = (F.col("before") + F.col("nth")).cast("double")
     copies = F.least(F.floor(n * rate + offset) - F.floor((n - 1) * rate + offset), F.ceil(rate)).cast("long")
-    return d.withColumn("mix_copies", copies).withColumnRenamed("source_size", "mix_source_size").withColumnRenamed("target", "mix_target").drop("mix_source", "mix_null", "mix_bin", "mix_salt", "mix_row", "c_source", "c_null", "c_bin", "c_salt", "c_before")
+    return d.select("row.*", *[x.alias(c) for c, x in zip(ADDED, (F.col("words"), F.col("source_size"), F.col("target"), copies))])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix themselves: each document as often as it is taken, with the columns of `docs`."""
-    m = mix(docs, **options)
-    return m.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    m = mix(docs.select(row(docs), "doc_id", "source", F.col(options["size"]) if options.get("size") else F.col("text")), **options)
+    return m.where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,16 +8,18 @@ slots it needs: about COORDINATES * (ln COORDINATES + 2) darts whatever its leng
 probability equal to their weighted Jaccard similarity. Bands of ROWS coordinates are joined.
 
 Exact copies are one class from the start (128-bit key of the text), so a group of copies costs no links. In each band
-bucket every text is compared with the bucket's least text. Where that leaves a bucket in several classes, further
-texts of it become hubs, eight times as many in each pass, drawn by a hash; a hub is compared with all texts of the
-bucket that are in another class. It ends when each bucket is one class or each of its texts has been a hub: no pair of
-a bucket is left out but those already in one class, or of lengths too far apart to be similar. So copies of one text
-cost links as the rows grow, and only texts that meet in a bucket and are really different are compared in pairs.
-Every link is verified on the texts' own shingles: weighted Jaccard >= 0.8. Classes are the connected components; the
-least doc_id stays.
+bucket every text is first compared with the bucket's hub, the text that meets most others over all bands: the
+original, where a bucket holds edited copies of one. Classes are then contracted, and only buckets that still hold
+several are compared all against all, in blocks: a bucket is cut into blocks of about BLOCK texts or BLOCK_UNITS
+shingles, each pair of blocks is one group, and a group sends back no pairs but the few links that span the classes it
+joins. No pair of texts that meet in a bucket is left out but those already in one class, so work beyond the hubs
+arises only where texts that meet are really different. Every link is verified on the texts' own shingles: weighted
+Jaccard >= 0.8. Classes are the connected components; the least doc_id stays.
 
 Nulls, odd rows: a null text links with nothing; texts without words are near only to their exact copies; equal
-(doc_id, text) rows are one document; a null doc_id is the least of a class only if there is no other.
+(doc_id, text) rows are one document; a null doc_id is the least of a class only if there is no other. Very long texts
+are shingled whole, one at a time. Ties (equal least doc_id, different texts of a class) stay by the least text key. An
+empty table gives no rows. Other columns are kept by `deduplicated`, whatever their names, and read by nothing else.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import shingles
-from tapeloom.llm._shared import components, gated, stored, table, text_key
+from tapeloom.llm._shared import components, gated, row, runs, stored, table, text_key
 from tapeloom.llm.shingles import mix
 
-SIMILAR, WORDS, BANDS, ROWS, PASS = 0.8, 5, 24, 5, 3
+SIMILAR, WORDS, BANDS, ROWS = 0.8, 5, 24, 5
+BLOCK, BLOCK_UNITS, DARTS = 512, 1 << 19, 1 << 17
 COORDINATES = BANDS * ROWS
 _U = np.uint64
 _FIRST = 18  # the first time slot ends at 2 ** -_FIRST; slot i ends at 2 ** (i - _FIRST)
@@ -75,8 +78,10 @@ def signatures(units: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
             if not ask.any():
                 continue
             on = np.flatnonzero(ask[doc])
-            for a in range(0, len(on), 1 << 18):
-                part = on[a : a + (1 << 18)]
+            few = max(1, int(DARTS / max(1, COORDINATES * _WIDTH[slot])))  # units that throw about DARTS darts
+            few = min(few, DARTS)
+            for a in range(0, len(on), few):
+                part = on[a : a + few]
                 key = mix(units[part] ^ _U((slot + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
                 n = np.searchsorted(_TABLES[slot], (key >> _U(11)).astype(float) * 2.0**-53, "right")
                 who = np.repeat(np.arange(len(part)), n)
@@ -131,25 +136,33 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         nodes, texts = batch.column("node"), batch.column("text").to_pylist()
         for a, b in shingles.chunks(texts):
             units, doc = text_units(texts[a:b])
-            short = (units >> _U(32)).astype(np.uint32)
             ends = np.searchsorted(doc, np.arange(b - a + 1))
-            sets = [np.sort(short[ends[i] : ends[i + 1]]).tobytes() for i in range(b - a)]
+            sets = [np.sort(units[ends[i] : ends[i + 1]]).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(sets, pa.binary())], ["node", "units"])
 
 
+def _unit_sets(column: pa.Array) -> list[np.ndarray]:
+    """Views of the sets in a binary column; nothing is copied."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return [np.frombuffer(data, _U, (b - a) // 8, a) if b > a else np.zeros(0, _U) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def alike(same, x, y):
+    """Whether sets of x and y units that share `same` are similar enough."""
+    return same >= SIMILAR * (x + y - same) - 1e-9
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column("a_units").to_pylist(), batch.column("b_units").to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            lo, hi = min(len(x), len(y)), max(len(x), len(y))
-            if lo < SIMILAR * hi:
+        for x, y in zip(_unit_sets(batch.column("a_units")), _unit_sets(batch.column("b_units"))):
+            if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)) - 1e-9:
                 ok.append(False)
                 continue
             both = np.concatenate([x, y])
             both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            ok.append(same >= SIMILAR * (len(x) + len(y) - same) - 1e-9)
+            ok.append(bool(alike(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
 
@@ -160,36 +173,80 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a_units", "b_units").mapInArrow(_verify, "u binary, v binary, ok boolean")
 
 
+def similar(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Which sets are alike, all against all: shared units are counted by products of incidence matrices."""
+    size = np.array([len(x) for x in sets])
+    row, units = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(units, kind="stable")
+    row, units = row[order], units[order]
+    new = np.r_[True, units[1:] != units[:-1]] if len(units) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(units) else new  # units of one set only are of no use
+    row, column = row[shared], np.cumsum(new[shared]) - 1
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (k, k + columns))
+        has = np.zeros((len(sets), int(column[b - 1]) + 1 - k), np.float32)
+        has[row[a:b], column[a:b] - k] = 1
+        same += has @ has.T
+    return alike(same, size[:, None], size[None, :])
+
+
+def _spans(root: list[bytes], block: np.ndarray, sets: list[np.ndarray], across: bool) -> list[tuple[bytes, bytes]]:
+    """Links between classes that similar texts of a group join, as few as span them; across: between its two blocks only."""
+    name, at = np.unique(np.array(root, object), return_inverse=True)
+    if len(name) < 2:
+        return []
+    near = similar(sets) & (at[:, None] != at[None, :])
+    if across:
+        near &= block[:, None] != block[None, :]
+    low = at.copy()
+    while True:  # the least class reachable, by rows and by classes in turn
+        new = np.minimum(low, np.where(near, low[None, :], len(name)).min(1))
+        least = np.arange(len(name))
+        np.minimum.at(least, at, new)
+        new = least[at]
+        if (new == low).all():
+            break
+        low = new
+    return [(name[k], name[m]) for k, m in enumerate(least.tolist()) if k != m]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spanning links of groups (bucket, i, j) that come one after the other, of about 2 * BLOCK_UNITS units at most."""
+    out: list[tuple[bytes, bytes]] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["u", "v"])
+    for (_, i, j), group in runs(batches, ("bucket", "i", "j")):
+        if group.num_rows > 1:
+            out += _spans(group.column("root").to_pylist(), group.column("block").to_numpy(), _unit_sets(group.column("units")), i != j)
+        if len(out) > 10_000:
+            yield made()
+            out.clear()
+    yield made()
+
+
 def links(texts: DataFrame) -> DataFrame:
     """Links (u, v) between distinct texts whose components are the classes; texts: (node, text), copies allowed."""
     found = stored(texts.where("text is not null").select("node", "text").mapInArrow(_buckets, "bucket long, size int, node binary"))
-    hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
-    members = stored(found.join(hubs, "bucket").distinct())  # buckets of two texts or more
-    star = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    of = members.select("node").distinct()
-    sets = stored(gated(texts, "node", of).join(of, "node").dropDuplicates(["node"]).mapInArrow(_shingle_sets, "node binary, units binary"))
-    done = stored(verified(star, sets))
-    linked = done.where("ok").select("u", "v")
-    # the leading zero bits of a hash: each level holds twice as many texts as the next
-    level = F.lit(64) - F.length(F.bin(F.xxhash64("bucket", "node")))
-    rest = members.where("node <> hub").select("bucket", "node", "size", level.alias("level"))
-    at = 0
-    while True:
-        roots = stored(components(linked))
-        now = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("level").alias("top")).where(f"low <> high and top >= {at}").select("bucket", "top")
-        rest = stored(now.join(split, "bucket").select("bucket", "node", "size", "level", "root", "top"))
-        if rest.isEmpty():
-            return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        hub = rest.where(F.col("top") - F.col("level") >= at).where(F.col("top") - F.col("level") < at + PASS)
-        hub = hub.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "level", "root")])
-        pairs = rest.join(hub, "bucket").where("root <> hub_root and (level < hub_level or level = hub_level and node < hub_node)")
-        pairs = pairs.where(F.least("size", "hub_size") >= SIMILAR * F.greatest("size", "hub_size") - 1e-9)
-        pairs = pairs.select(F.greatest("node", "hub_node").alias("u"), F.least("node", "hub_node").alias("v")).distinct()
-        new = stored(verified(stored(pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")), sets))
-        done = done.unionByName(new)
-        linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new.where("ok").select("u", "v"))
-        rest, at = rest.select("bucket", "node", "size", "level"), at + PASS
+    many = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("bucket", "n")
+    members = stored(found.join(many, "bucket").distinct())  # buckets of two texts or more
+    of = stored(members.groupBy("node").agg(F.sum("n").alias("met")))
+    hubs = members.join(of, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("x")).select("bucket", F.col("x.node").alias("hub"))
+    star = members.join(hubs, "bucket").where("node <> hub")
+    star = stored(star.select("bucket", "node", "size", "hub"))
+    sets = stored(gated(texts, "node", of).join(of, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_shingle_sets, "node binary, units binary"))
+    pairs = star.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    roots = stored(components(verified(pairs, sets).where("ok").select("u", "v")))
+    # what the hubs leave apart is compared in blocks; the hub itself has met all others of its bucket
+    now = star.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("units") / BLOCK_UNITS)).cast("int")
+    split = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("units")).where("low <> high").select("bucket", parts.alias("parts"))
+    each = now.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node")
+    each = each.join(sets, "node").select("bucket", "i", "j", "block", "root", "units").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    spans = each.mapInArrow(_compared, "u binary, v binary")
+    return stored(spans.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -211,9 +268,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: that of the least doc_id (of equal rows and ids, one)."""
     lone = F.unhex(F.md5(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     kept = classes(docs.select("doc_id", "text")).where("kept").groupBy("root").agg(F.min("node").alias("_node"), F.first("component_id").alias("_id")).select("_node", "_id")
-    d = docs.withColumn("_node", F.coalesce(text_key(F.col("text")), lone))
-    d = d.join(kept, (d._node == kept._node) & d.doc_id.eqNullSafe(kept._id)).drop(kept._node)
-    return d.dropDuplicates(["_node", "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row(docs), F.coalesce(text_key(F.col("text")), lone).alias("node"), F.col("doc_id").alias("id"))
+    d = d.join(kept, (d.node == kept._node) & d.id.eqNullSafe(kept._id))
+    return d.dropDuplicates(["node", "id"]).select("row.*")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CLASS = np.array([1 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
-CHUNK = 1 << 21
+CHUNK, TEXTS = 1 << 19, 2048
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -76,12 +76,12 @@ def ngrams(h: np.ndarray, count: np.ndarray, n: int, short: bool = False) -> tup
     return g, d, at - first[d]
 
 
-def chunks(texts: list[str | None], bound: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `bound` characters each; a longer text is a range of its own, whole."""
+def chunks(texts: list[str | None], bound: int = CHUNK, most: int = TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` texts and about `bound` characters each; a longer text is a range of its own, whole."""
     a, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if i > a and size + n > bound:
+        if i > a and (size + n > bound or i - a == most):
             yield a, i
             a, size = i, 0
         size += n

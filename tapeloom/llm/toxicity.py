@@ -6,13 +6,19 @@ term's features by its own length keeps the kernel positive. LANDMARKS terms giv
 (squared hinge) is trained in that space. Its decision is linear in the kernel, so all landmarks fold into one
 weight per hashed subsequence, and a term's decision is a sum of looked-up weights.
 
-Labels mark documents while insults stand in sentences. A sentence is scored by its strongest term (white-space
-separated, or spelled out letter by letter), a document by its strongest sentence, and terms get their training
-labels by multiple-instance rules: those of clean documents are negative, those of toxic documents that clean ones
-hardly use are positive, reselected once with the first machine. A logistic turns decisions into scores.
-
-At most SAMPLE labelled documents of each class train (a documented bound). A null or empty text has no term and
-gets the lowest decision; repeated rows get equal scores; without both labels every score is the labels' share.
+Labels mark documents while insults stand in sentences, in many inflected forms, and some of their forms also turn up
+by chance in clean documents. So three steps lead from terms to documents. Terms (white-space separated, or spelled out
+letter by letter) get their training labels by multiple-instance rules: positive are those that, or whose first STEM
+characters, toxic documents hold e times as often as clean ones or more and far oftener than chance explains (a likelihood
+ratio of SURE or more); the others of clean documents are negative. The machine then decides on every term of a text, and a sentence's evidence is what its terms
+add up to. A logistic model with squares and products judges the document by its three strongest terms, its strongest
+sentence, all its evidence and its length, so a form that clean texts hold once counts when it comes back.
+
+At most SAMPLE labelled documents of each class train, of their terms at most POSITIVE positive, USUAL usual and OTHER
+other negative ones (documented bounds; scoring and the counts of the sample's terms leave nothing out). A null or empty
+text has no term and gets the features of none; very long texts are read whole, long terms in overlapping windows;
+repeated rows get equal scores, ties in evidence are broken by the term; an empty table gives no rows; without both
+labels every score is the labels' share. Other columns pass through; only one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -25,27 +31,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import table
+from tapeloom.llm._shared import stored, table
 from tapeloom.llm.labels import fold, sample
 from tapeloom.llm.shingles import chunks
 
-SAMPLE, TERMS, LANDMARKS, BITS, DECAY, WINDOW, CACHE, CHUNK = 6000, 6000, 128, 15, 0.5, 48, 200_000, 1 << 19
-NO_TERM = -2.0
+SAMPLE, LANDMARKS, BITS, DECAY, WINDOW, CACHE, CHUNK = 6000, 256, 15, 0.5, 48, 200_000, 1 << 19
+POSITIVE, USUAL, OTHER, STEM, ODDS, SURE = 1500, 3000, 6000, 6, 1.0, 20.0
+NO_TERM, END = -2.0, 1e4
 SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,3}){3,}\w(?!\w)")
 _PAIRS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
 
 
-def terms(text: str | None) -> set[str]:
-    """The distinct terms of a whole text."""
+def tokens(text: str | None) -> list[str]:
+    """The terms of a whole text in order, those spelled out letter by letter at its end; a line's end is a term '.'."""
     if not text:
-        return set()
+        return []
     t = text.lower()
-    out = set(t.split())
+    out = t.replace("\n", " . ").split()
     if SPELLED.search(t):
-        out.update(m.group() for m in SPELLED.finditer(t))
+        for m in SPELLED.finditer(t):
+            out += [".", m.group()]
     return out
 
 
+def terms(text: str | None) -> set[str]:
+    """The distinct terms of a whole text."""
+    return set(tokens(text)) - {"."}
+
+
 def _windows(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all terms, long ones in overlapping windows that cover them whole; the term each row is of."""
     rows, of = [], []
@@ -92,33 +105,53 @@ def decide(batch: list[str], v: np.ndarray) -> np.ndarray:
 
 
 class KernelMachine:
-    """v: weight of each hashed subsequence; bias; slope and level of the logistic."""
+    """v: weight of each hashed subsequence; bias; centre, spread and weights of the model of whole documents; level without one."""
 
-    def __init__(self, v=None, bias=0.0, slope=1.0, level=0.0):
-        self.v, self.bias, self.slope, self.level = v, bias, slope, level
+    def __init__(self, v=None, bias=0.0, level=0.0):
+        self.v, self.bias, self.level = v, bias, level
+        self.centre = self.spread = self.weights = None
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"v": self.v, "bias": self.bias, "slope": self.slope, "level": self.level, "known": {}}
+        return self.__dict__ | {"known": {}}
 
-    def decisions(self, texts) -> np.ndarray:
-        if self.v is None:
-            return np.full(len(texts), NO_TERM)
-        return np.concatenate([self._decisions(texts[a:b]) for a, b in chunks(texts, CHUNK)] or [np.zeros(0)])
+    def evidence(self, texts) -> np.ndarray:
+        """A row per text: its three strongest terms, its strongest sentence, log of all evidence, log of the number of terms."""
+        return np.concatenate([self._evidence(texts[a:b]) for a, b in chunks(texts, CHUNK)] or [np.zeros((0, 6))])
 
-    def _decisions(self, texts) -> np.ndarray:
-        found = [terms(t) for t in texts]
-        new = list(set().union(*found).difference(self.known))
+    def _evidence(self, texts) -> np.ndarray:
+        found = [tokens(t) for t in texts]
+        new = set().union(*found).difference(self.known)
         if len(self.known) + len(new) > CACHE:  # a cache of bounded size; what it forgets is computed again
             self.known = {}
-            new = list(set().union(*found))
+            new = set().union(*found)
         if new:
-            self.known.update(zip(new, (decide(new, self.v) + self.bias).tolist()))
-        get = self.known.__getitem__
-        return np.array([max(map(get, s)) if s else NO_TERM for s in found])
+            names = sorted(new)
+            ends = np.array([x[-1] in ".!?" for x in names]) * END  # a term that ends a sentence is told by its size
+            self.known.update(zip(names, (decide(names, self.v) + self.bias + ends).tolist()))
+        get, out = self.known.__getitem__, np.zeros((len(texts), 6))
+        out[:, :3] = NO_TERM
+        for i, words in enumerate(found):
+            if not words:
+                continue
+            f = np.fromiter(map(get, words), float, len(words))
+            end = f > END / 2
+            f[end] -= END
+            top = np.sort(np.partition(f, len(f) - 3)[-3:])[::-1] if len(f) > 3 else np.sort(f)[::-1]
+            out[i, : len(top)] = top
+            sure = np.clip(f + 0.5, 0, 2)
+            out[i, 3] = np.bincount(np.cumsum(end) - end, sure).max()
+            out[i, 4:] = np.log1p(sure.sum()), np.log1p(len(f))
+        return out
+
+    def inputs(self, evidence: np.ndarray) -> np.ndarray:
+        """The document model's inputs: the evidence in standard units, its squares and products, and 1."""
+        z = np.clip((evidence - self.centre) / self.spread, -4, 4)
+        return np.column_stack([z, *[z[:, i] * z[:, j] for i in range(z.shape[1]) for j in range(i, z.shape[1])], np.ones(len(z))])
 
     def scores(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.decisions(texts) + self.level, -30, 30)))
+        f = np.full(len(texts), self.level) if self.v is None else self.inputs(self.evidence(texts)) @ self.weights
+        return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -166,50 +199,55 @@ def train(docs: DataFrame, labels: DataFrame, train_rows=None, bound: int = SAMP
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            n: dict[str, list[int]] = {}
+            n: dict[tuple[str, bool], list[int]] = {}
             for t, y in zip(d["text"], d["y"]):
-                for w in terms(t):
-                    n.setdefault(w, [0, 0])[y] += 1
-            yield pd.DataFrame({"term": list(n), "clean": [a for a, _ in n.values()], "toxic": [b for _, b in n.values()]})
+                own = terms(t)
+                for key in {(w, False) for w in own} | {(w[:STEM], True) for w in own if len(w) > STEM}:
+                    n.setdefault(key, [0, 0])[y] += 1
+            yield pd.DataFrame({"term": [k[0] for k in n], "stem": [k[1] for k in n], "clean": [a for a, _ in n.values()], "toxic": [b for _, b in n.values()]})
 
     sizes = {r.y: r.n for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     share = {r.y: r.n for r in labels.where(F.col("toxic").isin(0, 1) & rows).groupBy(F.col("toxic").alias("y")).agg(F.count("*").alias("n")).collect()}
+    p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
+    unknown = KernelMachine(level=float(np.log(p / (1 - p))))
     if not n0 or not n1:
-        p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-        return KernelMachine(level=float(np.log(p / (1 - p))), slope=0.0)
-    counts = picked.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.withColumn("odds", F.log((F.col("toxic") + 0.2) / (n1 + 0.4)) - F.log((F.col("clean") + 0.2) / (n0 + 0.4))).withColumn("evidence", F.col("odds") * F.col("toxic"))
-    bad = counts.where("odds > 1 and toxic >= 2").orderBy(F.desc("evidence"), "term").limit(TERMS // 4).collect()
-    usual = counts.where("clean >= 1").orderBy(F.desc(F.col("clean") - F.col("toxic")), "term").limit(TERMS // 2).collect()
-    other = counts.where("clean >= 1 and odds < 1").orderBy(F.xxhash64("term"), "term").limit(TERMS).collect()
+        return unknown
+    counts = picked.mapInPandas(count, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    expected = (F.col("clean") + F.col("toxic")) / float(n0 + n1)
+    excess = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (expected * n))).otherwise(0.0)
+    counts = stored(counts.withColumn("odds", odds).withColumn("ratio", F.when(F.col("odds") > ODDS, 2 * (excess("toxic", n1) + excess("clean", n0))).otherwise(0.0)))
+    stems = counts.where("stem").select(F.col("term").alias("of"), F.col("ratio").alias("stem_ratio"))
+    each = counts.where("not stem").withColumn("of", F.when(F.length("term") > STEM, F.substring("term", 1, STEM))).join(stems, "of", "left")
+    each = each.withColumn("evidence", F.greatest("ratio", F.coalesce("stem_ratio", "ratio")))
+    sure = (F.col("evidence") >= SURE) & (F.col("toxic") > 0)
+    bad = each.where(sure).orderBy(F.desc("evidence"), "term").limit(POSITIVE).collect()
+    clean = each.where(~sure & (F.col("clean") > 0) & (F.col("odds") < 1))
+    usual = clean.orderBy(F.desc(F.col("clean") - F.col("toxic")), "term").limit(USUAL).collect()
+    other = clean.orderBy(F.xxhash64("term"), "term").limit(OTHER).collect()
     good = list(dict.fromkeys(r.term for r in other + usual))
     if not bad or not good:
-        p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-        return KernelMachine(level=float(np.log(p / (1 - p))), slope=0.0)
-    names, weight = [r.term for r in bad], np.array([r.evidence for r in bad])
-    few = max(20, int((weight > 0.02 * weight[0]).sum()))
-    first = _machine(good, names[:few], weight[:few], landmarks, 1.0)
-    again = decide(names, first.v) + first.bias > 0  # witnesses: positive terms the first machine agrees with
-    strong = again | (np.arange(len(names)) < few // 4)
-    model = _machine(good, [t for t, k in zip(names, strong) if k], weight[strong], landmarks, 4.0)
+        return unknown
+    model = _machine(good, [r.term for r in bad], np.array([r.evidence for r in bad]), landmarks, 4.0)
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            yield pd.DataFrame({"f": model.decisions(d["text"].tolist()), "y": d["y"]})
+            yield pd.DataFrame({"f": list(model.evidence(d["text"].tolist())), "y": d["y"]})
 
-    seen = picked.mapInPandas(judged, "f double, y int").collect()  # two numbers for each of the bounded sample
+    seen = picked.mapInPandas(judged, "f array<double>, y int").collect()  # seven numbers for each of the bounded sample
+    seen.sort(key=lambda r: (r.f, r.y))
     f, y = np.array([r.f for r in seen]), np.array([r.y for r in seen], float)
     w = np.where(y > 0, share[1] / n1, share[0] / n0)  # the sample's classes weigh as the labels'
-    order = np.lexsort((y, f))
-    f, y, w = f[order], y[order], w[order] / w.sum() * len(w)
-    a = np.zeros(2)
-    x = np.column_stack([f, np.ones(len(f))])
-    for _ in range(50):  # ridge logistic by Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-6]), x.T @ (w * (y - p)) - np.array([0.05, 1e-6]) * a)
-        a += np.clip(step, -3, 3)
-    model.slope, model.level, model.known = float(a[0]), float(a[1]), {}
+    w *= len(w) / w.sum()
+    model.centre, model.spread = f.mean(0), f.std(0) + 1e-9
+    x = model.inputs(f)
+    model.weights, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, 0.2), 1e-6]
+    for _ in range(60):  # ridge logistic by Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (w * (y - p)) - ridge * model.weights)
+        model.weights += np.clip(step, -3, 3)
+    model.known = {}
     return model
 
 

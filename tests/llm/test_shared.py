@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from tapeloom.llm import _shared as s
 
 
@@ -41,12 +44,44 @@ def test_gate_keeps_every_row_asked_for(spark):
     assert want <= got and len(got) < 2 * len(want) + 50
 
 
-def test_stored_tables_lie_in_the_folder_the_session_names(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        t = s.Stored(spark.range(3).toDF("x"))
-        assert t.path.startswith(f"file://{tmp_path}/shared/") and t.df.count() == 3
-        t.drop()
-        assert not list((tmp_path / "shared").glob("tapeloom-*"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Session:
+    """As much of a session as shared_dir asks."""
+
+    def __init__(self, master, folder=None, conf=None, checkpoint=None):
+        self.conf = self
+        self.sparkContext, self.master, self.folder, self.of_context, self.checkpoint = self, master, folder, conf, checkpoint
+
+    def get(self, key, default=None):
+        return self.folder
+
+    def getConf(self):
+        return {"spark.checkpoint.dir": self.of_context} if self.of_context else {}
+
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+    def setCheckpointDir(self, path):
+        self.checkpoint = path
+
+
+def test_shared_folder_is_the_one_the_session_names():
+    assert s.shared_dir(Session("spark://x:7077", "hdfs://a")) == "hdfs://a"
+    assert s.shared_dir(Session("spark://x:7077", None, "hdfs://b")) == "hdfs://b"
+    assert s.shared_dir(Session("spark://x:7077", checkpoint="hdfs://c")) == "hdfs://c"
+    for master in ("spark://x:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError):
+            s.shared_dir(Session(master))
+    local = Session("local[4]")
+    assert s.shared_dir(local) == local.checkpoint
+
+
+def test_stored_tables_can_be_dropped(spark):
+    t = s.Stored(spark.range(3).toDF("x"))
+    assert t.path.startswith(s.shared_dir(spark)) and t.df.count() == 3
+    t.drop()
+    assert not os.path.exists(t.path.removeprefix("file:"))
+
+
+def test_row_keeps_odd_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["a.b", "c`d", "row"])
+    assert df.select(s.row(df)).select("row.*").columns == df.columns

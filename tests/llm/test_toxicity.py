@@ -35,6 +35,7 @@ def test_kernel_against_enumeration():
 
 def test_terms_find_spelled_out_words():
     assert "i d i o t" in x.terms("you I D I O T here")
+    assert x.tokens("One two.\nThree") == ["one", "two.", ".", "three"]
     assert x.terms(None) == x.terms("") == set()
 
 
