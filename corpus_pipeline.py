@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from tapeloom.llm._shared import stored, table
+from tapeloom.llm._shared import row, stored, table
 
 TOXIC = 0.3
 
@@ -18,7 +18,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC by a model of the labelled rows among them (null texts stay)."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
+    return toxicity.scored(docs.select(row(docs), "text"), model, "score").where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
