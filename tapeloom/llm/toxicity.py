@@ -10,7 +10,7 @@ Labels mark documents while insults stand in sentences, in many inflected forms,
 by chance in clean documents. So three steps lead from terms to documents. Terms (white-space separated, or spelled out
 letter by letter) get their training labels by multiple-instance rules: positive are those that, or whose first STEM
 characters, toxic documents hold e times as often as clean ones or more and far oftener than chance explains (a likelihood
-ratio of SURE or more); the others of clean documents are negative. The machine then decides on every term of a text, and a sentence's evidence is what its terms
+ratio of SURE or more); the others of clean documents are negative. Positive terms also train with letters put in. The machine then decides on every term of a text, and a sentence's evidence is what its terms
 add up to. A logistic model with squares and products judges the document by its three strongest terms, its strongest
 sentence, all its evidence and its length, so a form that clean texts hold once counts when it comes back.
 
@@ -24,6 +24,7 @@ labels every score is the labels' share. Other columns pass through; only one na
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,8 +170,16 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.nd
     return w
 
 
+def disguised(term: str) -> list[str]:
+    """The term with a letter put in after a third and after two thirds of it: virtual positive examples."""
+    n = len(term)
+    if n < 4:
+        return []
+    return [term[:k] + "abcdefghijklmnopqrstuvwxyz"[zlib.crc32(f"{term}{k}".encode("utf-8", "surrogatepass")) % 26] + term[k:] for k in (n // 3, 2 * n // 3)]
+
+
 def _machine(good: list[str], bad: list[str], weight: np.ndarray, landmarks: int, cost: float) -> KernelMachine:
-    """good: negative terms; bad: positive terms by falling evidence `weight`."""
+    """good: negative terms; bad: positive terms by falling evidence `weight`; their disguised forms train with them."""
     picked, near = [], dense(bad)
     best = weight / weight.max()
     for _ in range(min(landmarks // 2, len(bad))):  # strong terms first, then those least like the picked ones
@@ -184,9 +193,11 @@ def _machine(good: list[str], bad: list[str], weight: np.ndarray, landmarks: int
     keep = value > 1e-4 * value.max()
     half = vector[:, keep] / np.sqrt(value[keep])
     to = (z.T @ half).astype(np.float32)  # subsequences to the Nyström space
-    rows = good + bad
+    forms = [(x, w) for t, w in zip(bad, weight) for x in disguised(t)]
+    rows = good + bad + [x for x, _ in forms]
+    weight = np.r_[weight, [w / 2 for _, w in forms]]
     x = np.concatenate([dense(rows[k : k + 512]) @ to for k in range(0, len(rows), 512)])
-    y = np.r_[-np.ones(len(good)), np.ones(len(bad))]
+    y = np.r_[-np.ones(len(good)), np.ones(len(rows) - len(good))]
     c = cost * np.r_[np.full(len(good), 1.0), weight / weight.mean()]
     w = _svm(x, y, c)
     return KernelMachine((to @ w[:-1]).astype(np.float32), float(w[-1]))
