@@ -13,6 +13,10 @@ from tapeloom.plans.syntax import ScriptError
 DEFAULT_ZONE = "America/New_York"
 _TEXT = re.compile(r"\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?\s*$")
 _EPOCH = datetime(1970, 1, 1)
+#: The calendar repeats after 400 years, weekdays included; instants that datetime can't hold are read a number of cycles away.
+CYCLE_YEARS, CYCLE_DAYS = 400, 146_097
+_FIRST, _LAST = -60_000_000_000, 250_000_000_000  # seconds within datetime's years whatever the zone
+MOST_YEARS = 300_000
 
 
 @lru_cache
@@ -26,9 +30,15 @@ def zone(name: str | None) -> ZoneInfo:
         raise ScriptError(f"unknown time zone {name!r}") from None
 
 
-def offset_ms(t: float, tz: ZoneInfo) -> float:
+def wall(t: float, tz: ZoneInfo) -> tuple[datetime, int]:
+    """The wall clock at t, and by how many cycles of 400 years its year is to be raised."""
     seconds = math.floor(t / 1000)
-    return tz.utcoffset(datetime.fromtimestamp(seconds, UTC).astimezone(tz)).total_seconds() * 1000  # type: ignore[union-attr]
+    cycles = 0 if _FIRST <= seconds <= _LAST else (seconds - (_FIRST if seconds < 0 else _LAST - CYCLE_DAYS * 86_400)) // (CYCLE_DAYS * 86_400)
+    return datetime.fromtimestamp(seconds - cycles * CYCLE_DAYS * 86_400, UTC).astimezone(tz), cycles
+
+
+def offset_ms(t: float, tz: ZoneInfo) -> float:
+    return wall(t, tz)[0].utcoffset().total_seconds() * 1000  # type: ignore[union-attr]
 
 
 def from_wall(wall_ms: float, tz: ZoneInfo) -> float:
@@ -40,7 +50,10 @@ def from_wall(wall_ms: float, tz: ZoneInfo) -> float:
 def wall_days(year: int, month: int, day: int) -> int:
     """Days since the epoch; months and days may run over."""
     y, m = divmod(year * 12 + month - 1, 12)
-    return (datetime(y, m + 1, 1) - _EPOCH).days + day - 1
+    if abs(y) > MOST_YEARS:
+        raise OverflowError(y)
+    cycles, y = divmod(y - 2000, CYCLE_YEARS)
+    return (datetime(2000 + y, m + 1, 1) - _EPOCH).days + cycles * CYCLE_DAYS + day - 1
 
 
 def from_parts(tz: ZoneInfo, *parts: float) -> float:
@@ -58,10 +71,6 @@ def from_text(s: str, tz: ZoneInfo) -> float:
     return from_parts(tz, *[float(x or 0) for x in m.groups()]) if m else math.nan
 
 
-def wall(t: float, tz: ZoneInfo) -> datetime:
-    return datetime.fromtimestamp(math.floor(t / 1000), UTC).astimezone(tz)
-
-
 #: Name of each extractor and what it reads.
 PARTS = {
     "year": lambda d: d.year,
@@ -76,17 +85,18 @@ PARTS = {
 def part(name: str, t, tz: ZoneInfo) -> float:
     if not isinstance(t, float) or t != t or math.isinf(t):
         return math.nan
-    return float(PARTS[name](wall(t, tz)))
+    d, cycles = wall(t, tz)
+    return float(PARTS[name](d) + (CYCLE_YEARS * cycles if name == "year" else 0))
 
 
 def anchor_key(anchor: str, t: float, tz: ZoneInfo):
     """What stays equal while an anchor period lasts; NaN differs from everything."""
     if t != t:
         return math.nan
-    d = wall(t, tz)
+    d, cycles = wall(t, tz)
     if anchor == "week":
-        return ((d.replace(tzinfo=None) - _EPOCH).days + 3) // 7
-    return (d.year, d.month) if anchor == "month" else (d.year, d.month, d.day)
+        return ((d.replace(tzinfo=None) - _EPOCH).days + cycles * CYCLE_DAYS + 3) // 7
+    return (cycles, d.year, d.month) if anchor == "month" else (cycles, d.year, d.month, d.day)
 
 
 def clock(s, default: str) -> tuple[int, int]:
@@ -101,9 +111,9 @@ def now_scalars(last: float, tz: ZoneInfo, session: dict | None) -> dict[str, fl
     names = ("current_datetime", "date_today", "market_open", "market_close")
     if last != last:
         return dict.fromkeys(names, math.nan)
-    d = wall(last, tz)
+    d, cycles = wall(last, tz)
     session = session or {}
-    at = lambda h, m: from_parts(tz, float(d.year), float(d.month), float(d.day), float(h), float(m))
+    at = lambda h, m: from_parts(tz, float(d.year + CYCLE_YEARS * cycles), float(d.month), float(d.day), float(h), float(m))
     return dict(zip(names, (last, at(0, 0), at(*clock(session.get("open"), "09:30")), at(*clock(session.get("close"), "16:00")))))
 
 

@@ -17,7 +17,7 @@ FIELDS = ("date", "open", "high", "low", "close", "volume")
 def tape_of(table: pa.Table) -> Tape:
     """A symbol's bars in order (date, seq), NULL as NaN."""
     table = table.sort_by([("date", "ascending"), ("seq", "ascending")])
-    return Tape(*[pc.fill_null(table.column(f).cast(pa.float64()), 0.0 if f == "volume" else float("nan")).to_pylist() for f in FIELDS])
+    return Tape(*[pc.fill_null(table.column(f).cast(pa.float64(), safe=False), 0.0 if f == "volume" else float("nan")).to_pylist() for f in FIELDS])
 
 
 def result_json(bars: DataFrame, source: str, options: dict | None = None) -> DataFrame:

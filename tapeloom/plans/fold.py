@@ -691,6 +691,8 @@ def run_tape(source: str, tape: lib.Tape, options: dict | None = None) -> Output
         error = f"a value is used before it is set or has the wrong kind: {e}"
     except RecursionError:
         error = "nested too deeply"
+    except (ValueError, ArithmeticError) as e:
+        error = f"a value is out of range: {e}"
     out = run.out if run is not None else Outputs(lib.Tape(), None, None)
     return out.as_dict(error)
 

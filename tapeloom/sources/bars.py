@@ -18,21 +18,32 @@ def clean(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def millis(c: Column, kind: str) -> Column:
+    """Milliseconds since the epoch; dates and timestamps without a zone are read as UTC, whatever the session's zone."""
+    if kind == "timestamp":
+        return F.unix_millis(c)
+    if kind not in ("timestamp_ntz", "date"):
+        return c
+    day = F.unix_date(c.cast("date")).cast("long") * 86_400_000
+    if kind == "date":
+        return day
+    return day + (F.hour(c) * 60 + F.minute(c)) * 60_000 + F.floor(F.extract(F.lit("SECOND"), c) * 1000).cast("long")
+
+
 def bars(df: DataFrame, symbol: str | Column | None = None, date: str | Column = "date", order: str | Column | None = None, **columns: str | Column) -> DataFrame:
     """df's rows as bars; columns: open=, high=, low=, close=, volume= where the names differ.
 
-    Timestamps become ms; without `order`, equal dates are ordered by their values, so that runs agree.
+    Timestamps become ms, those without a zone and dates as UTC. Without `order`, bars of equal date are ordered by a
+    hash of their values, so that runs agree; that reads all price columns, an `order` only those the script needs.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     d = col(date)
-    kind = df.select(d.alias("d")).schema["d"].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        d = F.unix_millis(d.cast("timestamp"))
-    out = [F.lit("") if symbol is None else col(symbol).cast("string"), F.lit(0) if order is None else col(order), d]
-    out = [c.cast(t).alias(n) for c, t, n in zip(out, ("string", "long", "long"), ("symbol", "seq", "date"))]
-    out += [clean(col(columns.get(p, p))).alias(p) for p in PRICES]
+    d = millis(d, df.select(d.alias("d")).schema["d"].dataType.typeName())
     v = columns.get("volume", "volume" if "volume" in df.columns else F.lit(None))
-    return df.select(*out, F.coalesce(clean(col(v)), F.lit(0.0)).alias("volume"))
+    values = [*[clean(col(columns.get(p, p))) for p in PRICES], F.coalesce(clean(col(v)), F.lit(0.0))]
+    out = [F.lit("") if symbol is None else col(symbol).cast("string"), F.xxhash64(*values) if order is None else col(order), d]
+    out = [c.cast(t).alias(n) for c, t, n in zip(out, ("string", "long", "long"), ("symbol", "seq", "date"))]
+    return df.select(*out, *[c.alias(n) for c, n in zip(values, (*PRICES, "volume"))])
 
 
 def resample(df: DataFrame, symbol: str, ts: str, price: str, order: tuple[str, ...], bucket: str, volume: Column | None = None) -> DataFrame:
@@ -41,7 +52,8 @@ def resample(df: DataFrame, symbol: str, ts: str, price: str, order: tuple[str,
     One aggregation with map-side combine: open and close are the prices at the least and greatest (ts, order).
     """
     key = F.struct(ts, *order)
-    g = df.where(F.col(ts).isNotNull()).groupBy(F.col(symbol).cast("string").alias("symbol"), F.window(F.col(ts).cast("timestamp"), bucket).getField("start").alias("start"))
+    at = millis(F.col(ts), df.schema[ts].dataType.typeName())
+    g = df.where(F.col(ts).isNotNull()).groupBy(F.col(symbol).cast("string").alias("symbol"), F.window(F.timestamp_millis(at), bucket).getField("start").alias("start"))
     out = g.agg(F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, key).alias("close"), (F.count("*") if volume is None else F.sum(volume)).cast("double").alias("volume"))
     d = F.unix_millis("start")
     return out.select("symbol", F.lit(0).cast("long").alias("seq"), d.alias("date"), *[clean(F.col(p)).alias(p) for p in PRICES], F.coalesce("volume", F.lit(0.0)).alias("volume"))

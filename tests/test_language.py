@@ -167,3 +167,16 @@ def test_nodes_are_checked_once():
     with pytest.raises(ScriptError):
         parse("plot(")
     assert parse("plot(close)\n") is parse("plot(close)\n")
+
+
+def test_far_instants():
+    utc, ny = calendar.zone("UTC"), calendar.zone("America/New_York")
+    for name, want in (("year", 57983), ("month", 10), ("dayofmonth", 4)):
+        assert calendar.part(name, 1767623400000.0 * 1000, utc) == want, name
+    for year in (-250_000, -401, -1, 0, 399, 9998, 10_000, 57_983, 299_999):
+        for tz in (utc, ny):
+            t = calendar.from_parts(tz, float(year), 7.0, 16.0, 13.0, 45.0)
+            assert [calendar.part(n, t, tz) for n in ("year", "month", "dayofmonth", "hour", "minute")] == [year, 7, 16, 13, 45]
+    assert math.isnan(calendar.from_parts(utc, 300_001.0, 1.0)) and math.isnan(calendar.part("year", math.inf, utc))
+    a, b = (calendar.anchor_key("week", 8.0e15 + d * 86_400_000.0, utc) for d in (0, 7))
+    assert b - a == 1

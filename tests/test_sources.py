@@ -4,6 +4,7 @@ import math
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom import bars, bars_from_records, read_bars, resample, run_script
 from tests.tapes import TAPES
@@ -12,7 +13,7 @@ from tests.tapes import TAPES
 def test_na_and_volume(spark):
     df = spark.createDataFrame([("a", 1, math.nan, None, math.inf, 2.0, None)], "symbol string, date long, open double, high double, low double, close double, volume double")
     r = bars(df, "symbol").first()
-    assert r.open is None and r.high is None and r.low == math.inf and r.volume == 0.0 and r.seq == 0
+    assert r.open is None and r.high is None and r.low == math.inf and r.volume == 0.0
 
 
 def test_renamed_columns_and_timestamps(spark):
@@ -49,3 +50,31 @@ def test_order_of_equal_dates(spark):
 
 def test_records_skip_what_is_not_a_bar(spark):
     assert bars_from_records(spark, [{"date": 1, "close": 2}, None, "x", {"date": True}]).count() == 2
+
+
+def test_zoneless_times_are_utc_in_any_session(spark):
+    from datetime import date, datetime
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(datetime(2026, 1, 5, 14, 30, 0, 250_000), date(2026, 3, 8), 1.0)], "t timestamp_ntz, d date, close double").selectExpr("*", "close open", "close high", "close low")
+        assert bars(df, date="t").first().date == 1767623400250
+        assert bars(df, date="d").first().date == 1772928000000
+        assert resample(df.withColumn("s", F.lit("x")), "s", "t", "close", (), "1 day").first().date == 1767571200000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_equal_dates_have_one_order(spark):
+    rows = [(0, float(k), float(k), float(k), float(k)) for k in range(50)]
+    make = lambda r: bars(spark.createDataFrame(r, "date long, open double, high double, low double, close double").repartition(5))
+    read = lambda d, exact: [x.p0 for x in run_script(d, "plot(close)\n", exact=exact).per_bar().orderBy("bar_index").collect()]
+    assert read(make(rows), False) == read(make(rows[::-1]), False) == read(make(rows[::-1]), True)
+
+
+def test_a_far_instant_fails_no_other_symbol(spark):
+    d = bars_from_records(spark, [{"date": 1767623400000, "open": 1, "high": 1, "low": 1, "close": 1, "volume": 1}], "a")
+    d = d.unionByName(d.selectExpr("'b' symbol", "seq", "date * 1000000 date", "open", "high", "low", "close", "volume"))
+    got = {r.symbol: (r.p0, r.error) for r in run_script(d, "plot(year(time * 1000))\n", {"timezone": "UTC"}, exact=True).per_bar().collect()}
+    assert got["a"] == (57983.0, None) and got["b"][1] is None
