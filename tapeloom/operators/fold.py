@@ -85,6 +85,7 @@ _RECORD = {
     "trades": ("side string, entryBar long, entryPrice double, exitBar long, exitPrice double, qty double, pnl double, reason string", lambda r: (r["strategy"] or {}).get("trades", [])),
     "summary": ("realized double, openPnl double, netProfit double, trades double, wins double, losses double, winRate double, grossProfit double, grossLoss double, profitFactor double, maxDrawdown double, initialCapital double, commissions double, endEquity double, returnPct double, cagrPct double, sharpe double, maxDrawdownPct double", lambda r: [r["strategy"]["summary"]] if r["strategy"] else []),
     "open": ("side string, qty double, avgPrice double, entryBar long", lambda r: [r["strategy"]["open"]] if r["strategy"] and r["strategy"]["open"] else []),
+    "markers": ("side string, bar long, qty double", lambda r: [{"side": t["side"], "bar": i, "qty": t["qty"][i]} for t in (r["trades"] if r["strategy"] else []) if t["priceSource"] == "close" and t["color"] is None for i, v in enumerate(t["values"]) if v]),
     "lines": ("x1 double, y1 double, x2 double, y2 double, color string, width double, lineStyle string", lambda r: r["lines"]),
     "labels": ("x double, y double, text string, color string, textColor string, style string, size double", lambda r: r["labels"]),
     "boxes": ("x1 double, y1 double, x2 double, y2 double, color string, bgColor string, width double", lambda r: r["boxes"]),

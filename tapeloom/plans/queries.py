@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators.run import run_script
+from tapeloom.operators.run import lang_version, restyled, run_script, run_script_json
 from tapeloom.sources.bars import bars, resample
 
 
@@ -331,11 +334,77 @@ for _n, _call, _cols, _sel in (
     _y = '"y1"' if _n == "lines" else "1"
     panel(f"draw_{_n}", f"plot(close)\n{_call}\n", f"WITH {_b}, s AS (SELECT symbol, close > open AS hit, bar_index, {_sel} FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_index DESC) AS r FROM s WHERE hit AND bar_index > {0 if _n != 'labels' else -1}) SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar_index) - 1 AS k, {', '.join(chr(34) + x.strip() + chr(34) for x in _cols.split(','))} FROM f WHERE r <= 500", _n)
 
-# strategy: path-dependent, so SQL covers only simple cases
+# strategy: path-dependent
 add("strategy_state", "strategy.buy(bar_index == 3, 10)\nstrategy.sell(bar_index == 9, 4)\nplot(strategy.position_size)\nplot(strategy.avg_price)\nplot(strategy.open_pnl)\nplot(strategy.realized_pnl)\nplot(strategy.trades)\n", (lambda s: s.add(a=f"max(CASE WHEN bar_index = 3 THEN close END) {U}", z=f"max(CASE WHEN bar_index = 9 THEN close END) {U}").out("CASE WHEN bar_index > 9 THEN 6 WHEN bar_index > 3 THEN 10 ELSE 0 END", "CASE WHEN bar_index > 3 THEN a END", "CASE WHEN bar_index > 9 THEN 6 * (close - a) WHEN bar_index > 3 THEN 10 * (close - a) ELSE 0 END", "CASE WHEN bar_index > 9 THEN 4 * (z - a) ELSE 0 END", "CASE WHEN bar_index > 9 THEN 1 ELSE 0 END"))(Sql()))
 _STRATEGY = "strategy.config(initial_capital=50000, commission_percent=0.1, commission_cash=0.5, slippage=0.02, pyramiding=2)\nup = crossover(close, sma(close, 5))\ndown = crossunder(close, sma(close, 5))\nstrategy.buy(up, qty=5, qty_type=\"percent_of_equity\", stop_loss=20, take_profit=40, trailing=30)\nstrategy.sell(down, qty=2000, qty_type=\"cash\", limit=close + 1, expires=5)\n"
-panel("strategy_trades", _STRATEGY, None, "trades")
-panel("strategy_summary", _STRATEGY, None, "summary")
+
+
+def ledger_sql(select: str) -> str:
+    """The ledger of _STRATEGY, bar by bar, as a recursive query; select reads `last`, the state after each symbol's last bar."""
+    trade = "STRUCT(side VARCHAR, eb BIGINT, ep DOUBLE, xb BIGINT, xp DOUBLE, qty DOUBLE, pnl DOUBLE, reason VARCHAR)[]"
+    state = ["sz", "av", "en", "ne", "st", "tg", "tr", "be", "rz", "cm", "wn", "ls", "nw", "nl", "td", "fl", "lim", "placed", "pk", "dd", "cpk", "cdd", "prev", "n", "s", "q"]
+    zero, none, no_bar = "0::DOUBLE", "NULL::DOUBLE", "-1::BIGINT"
+    start = [zero, none, no_bar, "0", none, none, none, none, zero, zero, zero, zero, "0", "0", f"[]::{trade}", "[]::STRUCT(bar BIGINT, buy BOOLEAN, qty DOUBLE)[]", none, no_bar, zero, zero, "'-inf'::DOUBLE", zero, none, "0", zero, zero]
+
+    def put(of: str, **new: str) -> str:
+        return f"(SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in new.items())}) FROM {of})"
+
+    def more(of: str, **new: str) -> str:
+        return f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in new.items())} FROM {of})"
+
+    def fill(of: str, paid: str, wish: str, reason: str, exits: tuple[str, str, str]) -> str:
+        """A fill of `wish` (signed) shares at `paid`; wish may read pd, the price paid. Null or 0 wishes nothing."""
+        d = more(more(of, pd=paid), w=f"coalesce({wish}, 0.0)")
+        d = more(d, c="CASE WHEN sz * w < 0 THEN sign(w) * least(abs(w), abs(sz)) ELSE 0.0 END", rs=reason)
+        d = more(d, g="CASE WHEN c <> 0 THEN (av - pd) * c ELSE 0.0 END")
+        out = "c <> 0 AND sz + c = 0"
+        d = put(d, rz="rz + g", wn="wn + greatest(g, 0.0)", ls="ls + greatest(-g, 0.0)", nw="nw + (g > 0)::INT", nl="nl + (g < 0)::INT",
+            cm="CASE WHEN c <> 0 THEN cm + (0.5 + 0.1 / 100 * abs(c) * pd) ELSE cm END",
+            td="CASE WHEN c <> 0 THEN list_append(td, {'side': CASE WHEN sz > 0 THEN 'long' ELSE 'short' END, 'eb': en, 'ep': av, 'xb': bar_index, 'xp': pd, 'qty': abs(c), 'pnl': g, 'reason': rs}) ELSE td END",
+            fl="CASE WHEN c <> 0 THEN list_append(fl, {'bar': bar_index, 'buy': w > 0, 'qty': abs(c)}) ELSE fl END",
+            sz="sz + c", w="w - c", av=f"CASE WHEN {out} THEN NULL ELSE av END", en=f"CASE WHEN {out} THEN -1 ELSE en END", ne=f"CASE WHEN {out} THEN 0 ELSE ne END",
+            **{k: f"CASE WHEN {out} THEN NULL ELSE {k} END" for k in ("st", "tg", "tr", "be")})
+        on = "w <> 0 AND (sz = 0 OR ne < 2)"
+        d = put(d, cm=f"CASE WHEN {on} THEN cm + (0.5 + 0.1 / 100 * abs(w) * pd) ELSE cm END", fl=f"CASE WHEN {on} THEN list_append(fl, {{'bar': bar_index, 'buy': w > 0, 'qty': abs(w)}}) ELSE fl END",
+            av=f"CASE WHEN NOT ({on}) THEN av WHEN sz = 0 THEN pd ELSE (av * abs(sz) + pd * abs(w)) / (abs(sz) + abs(w)) END",
+            be=f"CASE WHEN NOT ({on}) THEN be WHEN sz = 0 THEN pd WHEN sz > 0 THEN greatest(be, pd) ELSE least(be, pd) END",
+            en=f"CASE WHEN {on} AND sz = 0 THEN bar_index ELSE en END", ne=f"CASE WHEN {on} THEN ne + 1 ELSE ne END", sz=f"CASE WHEN {on} THEN sz + w ELSE sz END",
+            **{k: f"CASE WHEN {on} THEN coalesce({v}, {k}) ELSE {k} END" for k, v in zip(("st", "tg", "tr"), exits)})
+        return f"(SELECT * EXCLUDE (pd, w, c, rs, g) FROM {d})"
+
+    none = (none,) * 3
+    d = f"(SELECT b.*, {', '.join(f'r.{c}' for c in state)} FROM r JOIN e b ON b.symbol = r.symbol AND b.bar_index = r.bar_index + 1)"
+    # protective exits, then the working order, then the body's orders, then the accounts
+    d = more(more(d, lv="greatest(av - st, be - tr)"), hit="CASE WHEN sz > 0 AND bar_index > en AND low <= lv THEN 'stop' WHEN sz > 0 AND bar_index > en AND high >= av + tg THEN 'target' END")
+    d = fill(d, "CASE hit WHEN 'stop' THEN least(open, lv) ELSE greatest(open, av + tg) END - 0.02", "CASE WHEN hit IS NOT NULL THEN -sz END", "hit", none)
+    d = put(d, lim="CASE WHEN bar_index - placed > 5 THEN NULL ELSE lim END")
+    d = put(fill(d, "greatest(open, lim) - 0.02", "CASE WHEN high >= lim THEN -2000 / pd END", "'signal'", none), lim="CASE WHEN high >= lim THEN NULL ELSE lim END")
+    d = more(d, eq="50000 + rz - cm + coalesce((close - av) * sz, 0.0)")
+    d = fill(d, "close + 0.02", "CASE WHEN up AND eq > 0 THEN eq * 5 / 100 / pd END", "'signal'", ("20.0", "40.0", "30.0"))
+    d = put(d, lim="CASE WHEN down THEN close + 1 ELSE lim END", placed="CASE WHEN down THEN bar_index ELSE placed END")
+    d = put(d, be="CASE WHEN sz > 0 AND bar_index > en THEN greatest(be, high) WHEN sz < 0 AND bar_index > en THEN least(be, low) ELSE be END", eq="50000 + rz - cm + coalesce((close - av) * sz, 0.0)")
+    d = more(d, now="rz + coalesce((close - av) * sz, 0.0)", x="CASE WHEN prev = 0 THEN 0.0 ELSE (eq - prev) / abs(prev) END")
+    d = put(put(d, pk="greatest(pk, now)", cpk="greatest(cpk, eq)"), dd="greatest(dd, pk - now)", cdd="CASE WHEN cpk > 0 THEN greatest(cdd, (cpk - eq) / cpk) ELSE cdd END", n="n + (prev IS NOT NULL)::INT", s="s + coalesce(x, 0.0)", q="q + coalesce(x * x, 0.0)", prev="eq")
+    up, down = f"coalesce(close > m AND {c1} <= {lag('m')}, false)", f"coalesce(close < m AND {c1} >= {lag('m')}, false)"
+    return f"""WITH RECURSIVE {SQL_TAPES['events'].strip()}, m AS (SELECT *, {mean('close', 5)} AS m FROM b), e AS (SELECT *, {up} AS up, {down} AS down FROM m), r AS (
+  SELECT symbol, -1::BIGINT AS bar_index, NULL::DOUBLE AS close, {', '.join(f'{v} AS {k}' for k, v in zip(state, start))} FROM b WHERE bar_index = 0
+  UNION ALL
+  SELECT symbol, bar_index, close, {', '.join(state)} FROM {d}
+), last AS (SELECT r.*, span FROM r JOIN (SELECT symbol, max(bar_index) AS bar_index, max(date) - min(date) AS span FROM b GROUP BY symbol) USING (symbol, bar_index))
+{select}"""
+
+
+_six = lambda x, name: f'round(CAST({x} AS DOUBLE), 6) + 0.0 AS "{name}"'
+panel("strategy_trades", _STRATEGY, ledger_sql("SELECT symbol, k, t.side AS side, t.eb AS \"entryBar\", " + _six("t.ep", "entryPrice") + ", t.xb AS \"exitBar\", " + ", ".join(_six(f"t.{c}", n) for c, n in (("xp", "exitPrice"), ("qty", "qty"), ("pnl", "pnl"))) + ", t.reason AS reason FROM (SELECT symbol, unnest(td) AS t, unnest(range(len(td))) AS k FROM last)"), "trades")
+_open, _end, _years = "coalesce((close - av) * sz, 0.0)", "(50000 + rz - cm + coalesce((close - av) * sz, 0.0))", "(span / (365.25 * 86400000))"
+_SUMMARY = {
+    "realized": "rz", "openPnl": _open, "netProfit": f"rz + {_open} - cm", "trades": "len(td)", "wins": "nw", "losses": "nl", "winRate": "CASE WHEN len(td) > 0 THEN nw / len(td) END", "grossProfit": "wn", "grossLoss": "ls",
+    "profitFactor": "CASE WHEN ls > 0 THEN wn / ls WHEN wn > 0 THEN 'inf'::DOUBLE END", "maxDrawdown": "dd", "initialCapital": "50000", "commissions": "cm", "endEquity": _end, "returnPct": f"({_end} / 50000 - 1) * 100",
+    "cagrPct": f"CASE WHEN span > 0 AND {_end} > 0 THEN (pow({_end} / 50000, 1 / {_years}) - 1) * 100 END", "sharpe": "CASE WHEN n > 1 AND q / n - (s / n) * (s / n) > 0 THEN (s / n) / sqrt(q / n - (s / n) * (s / n)) END", "maxDrawdownPct": "cdd * 100",
+}
+panel("strategy_summary", _STRATEGY, ledger_sql("SELECT symbol, 0::BIGINT AS k, " + ", ".join(_six(v, k) for k, v in _SUMMARY.items()) + " FROM last"), "summary")
+panel("strategy_markers", _STRATEGY, ledger_sql("SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY buy DESC, bar) - 1 AS k, CASE WHEN buy THEN 'buy' ELSE 'sell' END AS side, bar, " + _six("sum(qty)", "qty") + " FROM (SELECT symbol, unnest(fl, recursive := true) FROM last) GROUP BY symbol, buy, bar"), "markers")
+panel("strategy_open", _STRATEGY, ledger_sql("SELECT symbol, 0::BIGINT AS k, CASE WHEN sz > 0 THEN 'long' ELSE 'short' END AS side, " + _six("abs(sz)", "qty") + ", " + _six("av", "avgPrice") + ", en AS \"entryBar\" FROM last WHERE sz <> 0"), "open")
 add("strategy_netting", "strategy.buy(close > open * 3, 1)\nstrategy.sell(close < open / 3, 1)\nplot(strategy.position_size)\n", Sql().out(f"coalesce(sum(CASE WHEN close > open * 3 THEN 1 WHEN close < open / 3 THEN -1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
 
 # other tapes, many symbols
@@ -345,3 +414,74 @@ one("many_tapes_window", "sma(close, 20)\nstdev(close, 20)\nhighest(high, 20)",
 add("many_tapes_fold", "var n = 0\nif crossover(close, ema(close, 10))\n    n := n + 1\nplot(n)\nplot(rsi(close, 14))\n", rsi_stages(Sql("supplier").ema("e", "close", 2 / 11).add(up=flag(f"close > e AND {c1} <= {lag('e')}"))).out(f"sum(up) {U}", RSI), tape="supplier")
 one("flagship", 'study("Crosses")\nm = sma(close, 10)\nplot(m)\nplotshape(crossover(close, m))', "m", stages=({"m": mean("close", 10)},))
 ORACLES["flagship"] = sql_as({"p0": "m", "shape_0": flag(f"close > m AND {c1} <= {lag('m')}")}, stages=({"m": mean("close", 10)},))
+
+# history of variables and scalars
+add("history_variable", "x = close * 2\nvar n = 0\nn := n + 1\nplot(x[3])\nplot(n[1])\n", Sql().out(f"2 * {lag('close', 3)}", "CASE WHEN bar_index > 0 THEN bar_index END"))
+add("history_scalar", "k = 2.5\nplot(pi[2])\nplot(k[3])\n", Sql().out("CASE WHEN bar_index >= 2 THEN pi() END", "CASE WHEN bar_index >= 3 THEN 2.5 END"))
+# other frames, and script variables read at the first bar after a bucket
+for _f, _k in (("720m", "date // 43200000"), ("480m", "date // 28800000")):
+    _s = Sql()
+    _s.parts.append(f"k AS (SELECT *, {_k} AS k FROM b), g AS (SELECT symbol, k, max(high) AS h, arg_max(close, bar_index) AS c FROM k GROUP BY symbol, k), l AS (SELECT symbol, k, lag(h) OVER z AS h, lag(c) OVER z AS c FROM g WINDOW z AS (PARTITION BY symbol ORDER BY k)), m AS (SELECT k.symbol, k.bar_index, k.date, l.h, l.c FROM k JOIN l USING (symbol, k))")
+    _s.of = "m"
+    add(f"security_{_f}", f'plot(security("{_f}", high))\nplot(security("{_f}", close))\n', _s.out("h", "c"))
+_s = Sql()
+_s.parts.append("k AS (SELECT *, date // 86400000 AS k, min(date // 86400000) OVER (PARTITION BY symbol) AS k0 FROM b), m AS (SELECT symbol, bar_index, date, CASE WHEN k > k0 THEN first_value(close * 2 + bar_index) OVER (PARTITION BY symbol, k ORDER BY bar_index) END AS v FROM k)")
+_s.of = "m"
+add("security_variable", 'x = close * 2 + bar_index\nplot(security("1d", x))\n', _s.out("v"))
+one("src_now_session", "date_today\nmarket_open\nmarket_close", f"{last} - {last} % 86400000", f"{last} - {last} % 86400000 + 29700000", f"{last} - {last} % 86400000 + 63900000", options={"session": {"open": "08:15", "close": "17:45"}})
+add("strategy_sources", "strategy.buy(bar_index == 3, 10)\nstrategy.sell(bar_index == 9, 10)\nplot(strategy.wins)\nplot(strategy.losses)\nplot(strategy.equity)\n", Sql().add(a=f"max(CASE WHEN bar_index = 3 THEN close END) {U}", z=f"max(CASE WHEN bar_index = 9 THEN close END) {U}").out(flag("bar_index > 9 AND z > a"), flag("bar_index > 9 AND z < a"), "CASE WHEN bar_index > 9 THEN 10 * (z - a) WHEN bar_index > 3 THEN 10 * (close - a) ELSE 0 END"))
+# text, compared as text
+panel("fn_number_text", 'plot(close)\nlabel.new(bar_index, high, tostring(volume) + "/" + tostring(volume / 4) + (close > open ? " up" : " down"), when=bar_index < 40)\n', f"WITH {_b} SELECT symbol, bar_index AS k, bar_index * 1.0 AS x, round(high, 6) + 0.0 AS y, CAST(CAST(volume AS BIGINT) AS VARCHAR) || '/' || regexp_replace(CAST(volume / 4 AS VARCHAR), '[.]0$', '') || CASE WHEN close > open THEN ' up' ELSE ' down' END AS text, '#8f8f98' AS color, NULL::VARCHAR AS \"textColor\", 'down' AS style, 10.0 AS size FROM b WHERE bar_index < 40", "labels")
+
+
+def failing(name: str, script: str) -> None:
+    """A script that fails on every symbol: its bars, with whether there is an error and whether outputs are empty."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = run_script(events_tape(spark, sf_dir), script, {"timezone": "UTC"}, exact=True).per_bar()
+        empty = F.lit(True)
+        for c in set(d.columns) - {"symbol", "bar_index", "date", "error"}:
+            empty = empty & F.col(c).isNull()
+        return d.select("symbol", "bar_index", F.col("error").isNotNull().alias("failed"), empty.alias("empty"))
+
+    QUERIES[name] = query
+    ORACLES[name] = f"WITH {_b} SELECT symbol, bar_index, true AS failed, true AS empty FROM b"
+
+
+failing("error_loop_cap", "n = 0\nwhile n > -1\n    n := n + 1\nplot(n)\n")
+failing("error_offset", 'k = close > open ? "one" : "two"\nplot(close[k])\n')
+failing("error_draws_nothing", "x = sma(close, 3)\n")
+
+
+def result_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON result of each symbol, read back."""
+    r = run_script(events_tape(spark, sf_dir), 'study("Mean", overlay=true)\nplot(sma(close, 5), "#112233", 3, title="Five")\n', {"timezone": "UTC"}).json()
+    get = lambda path: F.get_json_object("result", path)
+    values = F.posexplode(F.from_json(get("$.plots[0].values"), "array<double>")).alias("bar_index", "value")
+    d = r.select("symbol", get("$.title").alias("title"), get("$.plots[0].title").alias("plot"), get("$.plots[0].color").alias("color"), get("$.plots[0].width").cast("double").alias("width"), get("$.error").isNull().alias("ok"), values)
+    return rounded(d.withColumn("bar_index", F.col("bar_index").cast("long")))
+
+
+def json_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_script_json on each symbol's bars as JSON text, on the executors."""
+
+    @F.pandas_udf("string")
+    def run(bars_json: pd.Series) -> pd.Series:
+        return bars_json.map(lambda t: run_script_json("plot(highest(high, 4))\n", t, '{"timezone": "UTC"}'))
+
+    bar = F.struct("date", "open", "high", "low", "close", "volume")
+    one_text = events_tape(spark, sf_dir).groupBy("symbol").agg(F.to_json(F.sort_array(F.collect_list(bar))).alias("bars"))
+    values = F.from_json(F.get_json_object(run("bars"), "$.plots[0].values"), "array<double>")
+    return rounded(one_text.select("symbol", F.lit(lang_version()).alias("version"), F.posexplode(values).alias("bar_index", "value")).withColumn("bar_index", F.col("bar_index").cast("long")))
+
+
+def restyle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plot's colour and width literals replaced at the spans that its result record gives."""
+    source = 'plot(close, "#123456", 3)\n'
+    p = json.loads(run_script_json(source, '[{"date": 0, "open": 1, "high": 1, "low": 1, "close": 1, "volume": 1}]'))["plots"][0]
+    return spark.createDataFrame([(source.strip(), restyled(source, [(p["colorSpan"], '"#abcdef"'), (p["widthSpan"], "12")]).strip())], "before string, after string")
+
+
+QUERIES |= {"result_record": result_record, "json_run": json_run, "tool_restyle": restyle}
+ORACLES["result_record"] = Sql().out(mean("close", 5)).replace("SELECT symbol, bar_index, date, ", "SELECT symbol, bar_index, 'Mean' AS title, 'Five' AS plot, '#112233' AS color, 3.0 AS width, true AS ok, ").replace("AS p0", "AS value")
+ORACLES["json_run"] = Sql().out(full(f"max(high) {over(4)}", "high", 4)).replace("SELECT symbol, bar_index, date, ", "SELECT symbol, bar_index, '2.4.0' AS version, ").replace("AS p0", "AS value")
+ORACLES["tool_restyle"] = "SELECT 'plot(close, \"#123456\", 3)' AS before, 'plot(close, \"#abcdef\", 12)' AS after"
