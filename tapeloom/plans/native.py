@@ -25,7 +25,7 @@ from tapeloom.functions.builtins import MAX_PERIOD, STATEFUL, Tape
 from tapeloom.functions.text import round_half_up
 from tapeloom.operators.outputs import SITES, Outputs
 from tapeloom.plans.fold import BUILT_IN, NOW, frame_key, statements
-from tapeloom.plans.syntax import Node, Program, ScriptError, parse, walk
+from tapeloom.plans.syntax import Node, Program, ScriptError, expressions, parse, walk
 
 DECAY_PER_BLOCK, LOOK_BACK, MAX_UNROLLED = 10.0, 4, 64
 OHLC = ("open", "high", "low", "close")
@@ -400,6 +400,8 @@ class Compiler:
         w = Window.partitionBy("symbol").orderBy("date", "seq")
         df = bars.withColumn("bar_index", F.row_number().over(w).cast("long") - 1)
         self.frame = self.main = Frame(df, "t")
+        self.bare = Frame(df, "b")  # what higher timeframes are made of, whatever was joined to the bars meanwhile
+        self.higher: dict[int, Val] = {}
         self.names: list[dict[str, Val]] = [{}]
         self.columns: dict[str, Column] = {}
         self.counters: list[str] = []
@@ -800,30 +802,44 @@ class Compiler:
         frame_key(frame.const, self.zone)  # raises if malformed
         if self._reads_script(e.args[1]):
             raise NotNative("security reads script variables")
-        f, n, unit = self.frame, int(frame.const[:-1]), frame.const[-1]
-        t = F.col("date").cast("double")
-        key = F.floor(t / (n * (60_000.0 if unit == "m" else 3_600_000.0))) if unit in "mh" else fx.anchor_key("session" if unit == "d" else "week", t, self.zone_name)
-        key = f.stage(key)
-        turns = f.stage(F.when(key == F.lag(key, 1).over(f.w), 0).otherwise(1))
-        name = f.named(F.sum(turns).over(f.so_far).cast("long"))
-        base = f.df.select("symbol", F.col(name).alias("_run"), "bar_index", "date", *OHLC, "volume")
-        i = F.col("bar_index")
-        agg = base.groupBy("symbol", "_run").agg(
+        if e.uid in self.higher:
+            return self.higher[e.uid]
+        calls = [e, *[x for x in self._plain_calls(frame.const) if x.uid != e.uid]]
+        f = self.frame
+        name = self._run(f, frame.const)
+        i, run = F.col("bar_index"), F.col(self._run(self.bare, frame.const))
+        agg = self.bare.df.select("symbol", run.alias("_run"), "bar_index", "date", *OHLC, "volume").groupBy("symbol", "_run").agg(
             F.min_by("date", i).alias("date"), F.min_by("open", i).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
             F.max_by("close", i).alias("close"), F.sum("volume").alias("volume"),
         ).withColumn("bar_index", F.col("_run") - 1)
-        self.frame = Frame(agg, f"q{f.k}_")
+        self.frame = q = Frame(agg, f"q{f.k}_")
         try:
-            v = self.value(e.args[1])
-            held = self.frame.stage(v.col)
-            done = self.frame.df.select(F.col("symbol").alias("_s"), (F.col("_run") + 1).alias("_r"), held.alias("_held"))
+            values = [self.value(x.args[1]) for x in calls]
+            held = [q.stage(v.col) for v in values]
         finally:
             self.frame = f
-        f.k += 1
-        out = f"{f.prefix}{f.k}"
-        done = done.select("_s", "_r", F.col("_held").alias(out))
+        names = [f"{f.prefix}{f.k + 1 + k}" for k in range(len(calls))]
+        f.k += len(calls)
+        done = q.df.select(F.col("symbol").alias("_s"), (F.col("_run") + 1).alias("_r"), *[h.alias(n) for h, n in zip(held, names)])
         f.df = f.df.join(done, (F.col("symbol") == F.col("_s")) & (F.col(name) == F.col("_r")), "left").drop("_s", "_r")
-        return Val(F.col(out), string=v.string)
+        out = [Val(F.col(n), string=v.string) for n, v in zip(names, values)]
+        self.higher.update({x.uid: v for x, v in zip(calls[1:], out[1:])})
+        return out[0]
+
+    def _run(self, f: Frame, frame: str) -> str:
+        """The number of a bar's bucket under a timeframe, from 1, as a column of a frame."""
+        n, unit, t = int(frame[:-1]), frame[-1], F.col("date").cast("double")
+        key = F.floor(t / (n * (60_000.0 if unit == "m" else 3_600_000.0))) if unit in "mh" else fx.anchor_key("session" if unit == "d" else "week", t, self.zone_name)
+        key = f.stage(key)
+        turns = f.stage(F.when(key == F.lag(key, 1).over(f.w), 0).otherwise(1))
+        return f.named(F.sum(turns).over(f.so_far).cast("long"))
+
+    def _plain_calls(self, frame: str) -> list[Node]:
+        """The script's other calls of security under a timeframe that read nothing the script names: they share one aggregate and one join."""
+        made = {s.name for s in statements(self.p) if s.kind in ("assign", "update", "var")}
+        found = [n for s in self.p.body for x, _ in expressions(s) for n in walk(x) if n.kind == "call" and n.name == "security" and len(n.args) > 1]
+        named = lambda e: any(n.kind == "name" and n.name in made or n.kind == "call" and n.name in self.p.functions for n in walk(e))
+        return [n for n in found if n.args[0].kind == "str" and n.args[0].value == frame and not named(n.args[1])]
 
     def _reads_script(self, e: Node) -> bool:
         bodies = [e, *(x for n in walk(e) if n.kind == "call" and n.name in self.p.functions for x in [self.p.functions[n.name].result, *[s.value for s in self.p.functions[n.name].body if "value" in s.of]])]
