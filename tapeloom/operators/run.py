@@ -17,6 +17,7 @@ from tapeloom.plans.native import Compiler, NotNative, compile_native
 from tapeloom.plans.syntax import ScriptError, parse
 
 LANG_VERSION = "2.4.0"
+MOST_RECURRENCES = 1
 
 
 @dataclass
@@ -39,14 +40,18 @@ class RunOptions:
 class ScriptResult:
     """Lazy results of a script over bars; every DataFrame has a symbol column."""
 
-    def __init__(self, bars: DataFrame, source: str, options: dict, exact: bool):
+    def __init__(self, bars: DataFrame, source: str, options: dict, exact: bool, windows: bool):
         self.bars, self.source, self.options = bars, source, options
         self.native: Compiler | None = None
         self.why_fold = "exact results asked for"
         parse(source)
         if not exact:
             try:
-                self.native = compile_native(source, bars, options)
+                made = compile_native(source, bars, options)
+                if made.main.recurrences <= MOST_RECURRENCES or windows:
+                    self.native = made
+                else:
+                    self.why_fold = f"{made.main.recurrences} recurrences: one ordered pass is faster than their windows"
             except NotNative as e:
                 self.why_fold = str(e)
 
@@ -108,13 +113,16 @@ class ScriptResult:
         return fold.result_json(self.bars, self.source, self.options)
 
 
-def run_script(bars: DataFrame, source: str, options: RunOptions | dict | None = None, exact: bool = False) -> ScriptResult:
+def run_script(bars: DataFrame, source: str, options: RunOptions | dict | None = None, exact: bool = False, windows: bool = False) -> ScriptResult:
     """A script over a bars DataFrame (see sources.bars). exact: bit parity with one ordered pass, hence the fold tier.
 
+    windows: the native tier wherever it can express the script, also where more than MOST_RECURRENCES recurrences (an
+    EMA is one, an RSI two) make it slower than the fold.
+
     Syntax and validation errors raise ScriptError here. An error that depends on data is per symbol, in the fold
     tier's `error` column and result record; the native tier only takes scripts that can't have any.
     """
-    return ScriptResult(bars, source, RunOptions.of(options), exact)
+    return ScriptResult(bars, source, RunOptions.of(options), exact, windows)
 
 
 def run_script_json(source: str, bars_json: str, options_json: str | None = None) -> str:

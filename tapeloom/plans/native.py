@@ -66,6 +66,7 @@ class Frame:
     order: tuple[str, ...] = ("bar_index",)
     k: int = 0
     seen: dict[str, str] = field(default_factory=dict)
+    recurrences: int = 0  # how many are staged; each costs two sorts
 
     def stage(self, c: Column) -> Column:
         """A column computed once; equal expressions share one."""
@@ -208,6 +209,7 @@ def recurrence(f: Frame, s: Column, alpha: float, skip: int = 0, seed: Column |
 
     skip, seed: the value numbered `skip` gets y = seed instead, and those before it get na.
     """
+    f.recurrences += 1
     known = f.stage(finite(s) & s.isNotNull())
     n = f.stage(F.when(F.coalesce(known, F.lit(False)), F.sum(F.coalesce(known, F.lit(False)).cast("int")).over(f.so_far) - 1 - skip))
     if alpha >= 1:

@@ -2,8 +2,9 @@
 
 Per symbol the state is the bars so far (in order) and those still waiting. A bar waits until the watermark (the
 latest date seen for its symbol, less `delay_ms`) has passed it, so bars that come late by no more than that are put
-in order; later ones are left out and counted in `late`. Each accepted bar gives one output row. State can be bounded
-by `keep`: scripts whose windows and decays fit into `keep` bars give the same values from the last `keep` bars alone.
+in order; later ones are left out and counted in `late`. Each accepted bar gives one output row. State and work are
+bounded by `keep` bars a symbol, which is to be named: scripts whose windows and decays fit into `keep` bars give the same
+values from the last `keep` bars alone; one that reads all history needs as many as a symbol will ever have.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ FIELDS = ("date", "seq", "open", "high", "low", "close", "volume")
 _STATE = "done array<array<double>>, waiting array<array<double>>, before long, late long"
 
 
-def run_live(stream: DataFrame, source: str, options: RunOptions | dict | None = None, delay_ms: int = 0, keep: int | None = None) -> DataFrame:
+def run_live(stream: DataFrame, source: str, options: RunOptions | dict | None = None, delay_ms: int = 0, *, keep: int) -> DataFrame:
     """Streaming rows (symbol, bar_index, date, outputs..., error, late) from a streaming bars DataFrame; append mode.
 
     "Latest bar" scalars (barstate.islast, current_datetime and the like) mean the latest bar accepted so far.
     """
     parse(source)
+    if keep < 1:
+        raise ValueError("keep is the number of bars held for each symbol, 1 at least")
     opts = RunOptions.of(options)
     columns = fold.wide_columns(run_tape(source, tape([]), opts))
     schema = "symbol string, bar_index long, date long, " + "".join(f"`{c}` {t}, " for c, t, _, _ in columns) + "error string, late long"
@@ -61,7 +64,7 @@ def run_live(stream: DataFrame, source: str, options: RunOptions | dict | None =
                 out[name] = pd.Series(values[start:], dtype=float if kind == "double" else object)
             frame = pd.DataFrame(out)
             frame["error"], frame["late"] = record["error"], late
-            if keep is not None and len(done) > keep:
+            if len(done) > keep:
                 before, done = before + len(done) - keep, done[-keep:]
             yield frame
         state.update((done, waiting, before, late))

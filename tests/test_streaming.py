@@ -12,7 +12,7 @@ SCRIPT = "var n = 0\nif close > open\n    n := n + 1\nplot(n)\nplot(sma(close, 5
 def drain(spark, folder, **options):
     bars = bars_from_records(spark, [])
     stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = run_live(stream, SCRIPT, {"timezone": "UTC"}, **options).writeStream.format("memory").queryName("live").outputMode("append").start()
+    q = run_live(stream, SCRIPT, {"timezone": "UTC"}, **({"keep": 1000} | options)).writeStream.format("memory").queryName("live").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     return spark.table("live").orderBy("bar_index").collect()
@@ -54,3 +54,13 @@ def test_too_late_bars_are_counted(spark, tmp_path):
     write(spark, f"{tmp_path}/in", [bars[:10] + bars[11:15], bars[10:11] + bars[15:]])
     got = drain(spark, f"{tmp_path}/in")
     assert len(got) == 19 and got[-1].late == 1
+
+
+def test_only_the_last_bars_are_held(spark, tmp_path):
+    """Windows that fit into `keep` give the same values; the running count starts anew over what is held."""
+    bars = TAPES["wavy"][:60]
+    write(spark, f"{tmp_path}/in", [bars[:30], bars[30:45], bars[45:]])
+    got = drain(spark, f"{tmp_path}/in", keep=12)
+    want = run_script(bars_from_records(spark, bars, "S"), SCRIPT, {"timezone": "UTC"}).per_bar().orderBy("bar_index").collect()
+    assert [(r.bar_index, r.date) for r in got] == [(r.bar_index, r.date) for r in want]
+    assert all(a.p1 == b.p1 or math.isclose(a.p1, b.p1, rel_tol=1e-9) for a, b in zip(got[5:], want[5:]))

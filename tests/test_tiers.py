@@ -31,7 +31,7 @@ def tapes(spark):
 
 @pytest.mark.parametrize("name", SCRIPTS)
 def test_same(tapes, name):
-    native, fold = (run_script(tapes, SCRIPTS[name], {"timezone": "UTC"}, exact=e) for e in (False, True))
+    native, fold = (run_script(tapes, SCRIPTS[name], {"timezone": "UTC"}, exact=e, windows=True) for e in (False, True))
     assert (native.tier, fold.tier) == ("native", "fold")
     columns = [c for c in native.per_bar().columns if c not in ("symbol", "bar_index", "date")]
     rows = lambda r: {(x.symbol, x.bar_index): x for x in r.per_bar().collect()}
@@ -47,7 +47,7 @@ def test_same(tapes, name):
 
 
 def test_native_plan_has_one_exchange_by_symbol(tapes):
-    plan = run_script(tapes.coalesce(1), SCRIPTS["averages"], {"timezone": "UTC"}).per_bar()._jdf.queryExecution().executedPlan().toString()
+    plan = run_script(tapes.coalesce(1), SCRIPTS["averages"], {"timezone": "UTC"}, windows=True).per_bar()._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange hashpartitioning") <= 1
 
@@ -88,3 +88,17 @@ def test_empty_bars(spark):
     none = bars_from_records(spark, [])
     assert run_script(none, "plot(ema(close, 3))\n").per_bar().count() == 0
     assert run_script(none, "plot(ema(close, 3))\n", exact=True).per_bar().count() == 0
+
+
+def test_several_recurrences_go_to_the_fold(tapes):
+    assert run_script(tapes, "plot(ema(close, 4))\n").tier == "native"
+    r = run_script(tapes, "plot(ema(close, 4))\nplot(wilders(close, 4))\n")
+    assert r.tier == "fold" and "recurrences" in r.why_fold
+
+
+def test_security_reads_the_bars_once_more_per_frame(tapes, tmp_path, spark):
+    tapes.write.parquet(f"{tmp_path}/bars")
+    df = bars(spark.read.parquet(f"{tmp_path}/bars"), "symbol", order="seq")
+    s = "".join(f'plot(security("1h", {x}))\n' for x in ("open", "high", "low", "close", "sma(close, 3)"))
+    plan = run_script(df, s, {"timezone": "UTC"}).per_bar()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and plan.count("Join") == 1
