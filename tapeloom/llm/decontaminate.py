@@ -3,7 +3,7 @@
 The benchmark's word trigrams fill a bitmap of fixed size, the only thing broadcast. One pass over the documents
 keeps the trigrams that pass it; joined with the benchmark's, they give how often each occurs in all documents.
 Of every BLOCK consecutive trigrams of an item the PER_BLOCK rarest are its seeds, so each stretch of an item is
-findable and common phrases start no work. A document that holds a seed is aligned with the item around it: match 2,
+findable; common phrases are seeds only where a stretch has nothing rarer. A document that holds a seed is aligned with the item around it: match 2,
 mismatch and gap -1, over twice the item's words. A leak is a score of at least SCORE of the item's perfect one, or an
 aligned stretch whose own score reaches that of LONG matching words: a long copied run is a leak however small its
 share of the item. The score reported is the share of the perfect one, so long partial copies may lie below SCORE.
@@ -11,6 +11,9 @@ share of the item. The score reported is the share of the perfect one, so long p
 Equal texts are aligned once. A hot seed or item only makes many rows of a join that adaptive execution splits.
 Nulls, odd rows: null or wordless texts and items match nothing; an item of fewer than three words matches only a text of exactly its
 words; repeated rows each get their result; an item_id that stands for several texts is scored for each, the best counts.
+Of equally rare trigrams the first in the item are seeds, of equal scores in a document the first place counts. Very long
+texts are read whole and aligned only around their seeds. Empty documents or an empty benchmark give no rows. Other
+columns are kept by `decontaminated`, whatever their names, and read by nothing else.
 """
 
 from __future__ import annotations

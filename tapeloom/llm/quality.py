@@ -5,8 +5,10 @@ feature is cut into bins; cyclic boosting adds one shallow tree at a time to the
 then to two-way tables of the pairs that explain most of what is left. A score is a sum of looked-up bins through
 a logistic. Training sees at most SAMPLE labelled rows of each class, which is a documented bound.
 
-Null or empty texts have the vector of an empty text and get its score. Repeated rows get equal scores. Without
-labelled rows every score is 0.5.
+Null or empty texts have the vector of an empty text and get its score. Very long texts are read whole. Repeated rows
+get equal scores; ties in the order of the sample are broken by doc_id, equal gains by the first cut. Without labelled rows
+every score is 0.5; with one class only, the labels' share. An empty table gives no rows. Other columns pass through; only
+one named as the score is replaced.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _node string, size string, label string"
+CLASHING = ["_node", "node", "size", "label", "target", "source_size", "c_before", "before", "bin", "salt", "words", "nth", "row", "root", "key", "g", "unit", "part", "score", "_low", "id", "line", "component_id"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +9,7 @@ def docs_of(spark):
     """Documents from (doc_id, text, source) rows, with extra columns whose names clash with the operators' own."""
 
     def make(rows):
-        return spark.createDataFrame([(d, t, "en", s, None if t is None else len(t), "x", "y", "z") for d, t, s in rows], SCHEMA)
+        return spark.createDataFrame([(d, t, "en", s, None if t is None else len(t), *CLASHING) for d, t, s in rows], SCHEMA)
 
     return make
 
