@@ -1,4 +1,7 @@
-"""Synthetic tapes: a triangle wave with noise from a multiplicative congruential generator."""
+"""Synthetic tapes: a triangle wave with noise from a multiplicative congruential generator.
+
+The generator's constants, the wave's factors and the tapes' settings are fixed values: recorded results are over these tapes.
+"""
 
 import math
 from datetime import UTC, datetime

@@ -1,4 +1,4 @@
-"""Recorded results, where TAPELOOM_GOLDENS names a folder of them (one JSON file a case: tape, opts, script, expected)."""
+"""Recorded results: own cases in tests/recorded, and those of a folder that TAPELOOM_GOLDENS names (one JSON file a case: tape, opts, script, expected)."""
 
 import json
 import math
@@ -13,7 +13,7 @@ from tapeloom.plans.fold import run_tape
 from tests.tapes import TAPES
 
 FOLDER = os.environ.get("TAPELOOM_GOLDENS")
-FILES = sorted(Path(FOLDER).glob("*.json")) if FOLDER else []
+FILES = sorted(Path(__file__).with_name("recorded").glob("*.json")) + (sorted(Path(FOLDER).glob("*.json")) if FOLDER else [])
 
 
 def difference(got, want, at=""):
@@ -32,7 +32,6 @@ def difference(got, want, at=""):
     return None if type(got) is type(want) and got == want else f"{at}: {got!r} is not {want!r}"
 
 
-@pytest.mark.skipif(not FILES, reason="no recorded results")
 @pytest.mark.parametrize("file", FILES, ids=lambda f: f.stem)
 def test_recorded(file):
     case = json.loads(file.read_text())
