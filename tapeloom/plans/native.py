@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,15 +115,19 @@ def total(f: Frame, s: Column, p: int) -> Column:
     return full(f, F.sum(s).over(f.last(p)), s, p)
 
 
+SHORT = 64  # windows up to here are read by offsets, which share one pass and hold no lists
+
+
+def window_sum(f: Frame, s: Column, p: int, term) -> Column:
+    """Sum of term(value, place) over the window, oldest first; na where a value is."""
+    return reduce(lambda a, b: a + b, [term(F.lag(s, p - 1 - k).over(f.w) if k < p - 1 else s, k) for k in range(p)])
+
+
 def wma(f: Frame, s: Column, p: int) -> Column:
     """The weighted sum about the window's own last value: it loses no digits on long tapes."""
     s = f.stage(F.when(finite(s), s))
-    terms = [F.lag(s, k).over(f.w) * F.lit(float(p - k)) if k else s * F.lit(float(p)) for k in range(p)] if p <= 64 else None
-    if terms is not None:
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return fx.divide(out, F.lit(p * (p + 1) / 2))
+    if p <= SHORT:
+        return fx.divide(window_sum(f, s, p, lambda v, k: v * F.lit(k + 1.0)), F.lit(p * (p + 1) / 2))
     values = F.collect_list(s).over(f.last(p))
     out = F.aggregate(F.zip_with(values, F.sequence(F.lit(1), F.lit(p)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return full(f, out / F.lit(p * (p + 1) / 2), s, p)
@@ -199,6 +204,8 @@ def percentile(f: Frame, s: Column, p: int, q: float) -> Column:
 def alma(f: Frame, s: Column, p: int, offset: float, sigma: float) -> Column:
     centre, width = offset * (p - 1), p / (sigma if sigma > 0 else 6.0)
     weights = [math.exp(-((k - centre) ** 2) / (2 * width * width)) for k in range(p)]
+    if p <= SHORT:
+        return full(f, window_sum(f, s, p, lambda v, k: v * F.lit(weights[k])) / F.lit(sum(weights)), s, p)
     values = F.collect_list(s).over(f.last(p))
     dot = F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return full(f, dot / F.lit(sum(weights)), s, p)
@@ -354,9 +361,11 @@ def aroon(f: Frame, p: int, sign: int) -> Column:
 
 def cci(f: Frame, p: int) -> Column:
     tp = f.stage(typical())
-    values = F.collect_list(tp).over(f.last(p))
     mean = f.stage(F.avg(tp).over(f.last(p)))
-    apart = f.stage(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / p)
+    if p <= SHORT:
+        apart = f.stage(window_sum(f, tp, p, lambda v, k: F.abs(v - mean)) / p)
+    else:
+        apart = f.stage(F.aggregate(F.collect_list(tp).over(f.last(p)), F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / p)
     return full(f, F.when(apart > 0, fx.divide(tp - mean, 0.015 * apart)), tp, p)
 
 
