@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,16 @@ def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+def settled(make: Callable[[], DataFrame]) -> Stored:
+    """The table that make() returns, written; what was stored on the way to it is freed."""
+    n = len(_WRITTEN)
+    out = Stored(make())
+    for spark, path in _WRITTEN[n:-1]:
+        _delete(spark, path)
+    del _WRITTEN[n:-1]
+    return out
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text in shuffles."""
     return F.unhex(F.md5(text))

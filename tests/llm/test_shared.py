@@ -85,3 +85,24 @@ def test_stored_tables_can_be_dropped(spark):
 def test_row_keeps_odd_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["a.b", "c`d", "row"])
     assert df.select(s.row(df)).select("row.*").columns == df.columns
+
+
+def test_settled_frees_what_was_stored_on_the_way(spark):
+    made = []
+
+    def make():
+        made.append(s.Stored(spark.range(5).toDF("x")))
+        return made[0].df.where("x > 2")
+
+    out = s.settled(make)
+    assert out.df.count() == 2 and not os.path.exists(made[0].path.removeprefix("file:"))
+
+
+def test_runs_of_sorted_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 2, 5, 5, 5, 5, 7]
+    whole = pa.RecordBatch.from_pydict({"k": keys, "v": list(range(10))})
+    for size in (1, 2, 3, 10):
+        got = [(k, r.column("v").to_pylist()) for k, r in s.runs((whole.slice(a, size) for a in range(0, 10, size)), ("k",))]
+        assert got == [((1,), [0, 1, 2]), ((2,), [3, 4]), ((5,), [5, 6, 7, 8]), ((7,), [9])]
