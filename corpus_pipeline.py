@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from tapeloom.llm._shared import row, stored, table
+from tapeloom.llm._shared import row, settled, table
 
 TOXIC = 0.3
 
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage stores on its way, and its input, are freed as soon as its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        now = settled(lambda: stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return docs
