@@ -180,13 +180,16 @@ def disguised(term: str) -> list[str]:
 
 def _machine(good: list[str], bad: list[str], weight: np.ndarray, landmarks: int, cost: float) -> KernelMachine:
     """good: negative terms; bad: positive terms by falling evidence `weight`; their disguised forms train with them."""
-    picked, near = [], dense(bad)
-    best = weight / weight.max()
-    for _ in range(min(landmarks // 2, len(bad))):  # strong terms first, then those least like the picked ones
+    picked, near = [], dense(bad[: 2 * landmarks])
+    weight = np.asarray(weight, float)
+    strong = weight[: len(near)] / weight.max()
+    best = strong.copy()
+    for _ in range(min(landmarks // 2, len(near))):  # strong terms first, then those least like the picked ones
         i = int(best.argmax())
         picked.append(bad[i])
-        best = np.minimum(best, (1 - near @ near[i]) * np.minimum(1, 0.2 + weight / weight.max()))
+        best = np.minimum(best, (1 - near @ near[i]) * np.minimum(1, 0.2 + strong))
         best[i] = -1
+    del near
     marks = picked + good[: landmarks - len(picked)]
     z = dense(marks)
     value, vector = np.linalg.eigh((z @ z.T).astype(float))
@@ -196,7 +199,7 @@ def _machine(good: list[str], bad: list[str], weight: np.ndarray, landmarks: int
     forms = [(x, w) for t, w in zip(bad, weight) for x in disguised(t)]
     rows = good + bad + [x for x, _ in forms]
     weight = np.r_[weight, [w / 2 for _, w in forms]]
-    x = np.concatenate([dense(rows[k : k + 512]) @ to for k in range(0, len(rows), 512)])
+    x = np.concatenate([dense(rows[k : k + 256]) @ to for k in range(0, len(rows), 256)])
     y = np.r_[-np.ones(len(good)), np.ones(len(rows) - len(good))]
     c = cost * np.r_[np.full(len(good), 1.0), weight / weight.mean()]
     w = _svm(x, y, c)
