@@ -432,6 +432,7 @@ one("src_now_session", "date_today\nmarket_open\nmarket_close", f"{last} - {last
 add("strategy_sources", "strategy.buy(bar_index == 3, 10)\nstrategy.sell(bar_index == 9, 10)\nplot(strategy.wins)\nplot(strategy.losses)\nplot(strategy.equity)\n", Sql().add(a=f"max(CASE WHEN bar_index = 3 THEN close END) {U}", z=f"max(CASE WHEN bar_index = 9 THEN close END) {U}").out(flag("bar_index > 9 AND z > a"), flag("bar_index > 9 AND z < a"), "CASE WHEN bar_index > 9 THEN 10 * (z - a) WHEN bar_index > 3 THEN 10 * (close - a) ELSE 0 END"))
 # text, compared as text
 panel("fn_number_text", 'plot(close)\nlabel.new(bar_index, high, tostring(volume) + "/" + tostring(volume / 4) + (close > open ? " up" : " down"), when=bar_index < 40)\n', f"WITH {_b} SELECT symbol, bar_index AS k, bar_index * 1.0 AS x, round(high, 6) + 0.0 AS y, CAST(CAST(volume AS BIGINT) AS VARCHAR) || '/' || regexp_replace(CAST(volume / 4 AS VARCHAR), '[.]0$', '') || CASE WHEN close > open THEN ' up' ELSE ' down' END AS text, '#8f8f98' AS color, NULL::VARCHAR AS \"textColor\", 'down' AS style, 10.0 AS size FROM b WHERE bar_index < 40", "labels")
+panel("fn_text_of_series", 'plot(close)\nt = str.upper(str.format("v={0}/{1}", volume, bar_index)) + str.replace(tostring(volume), "1", "__") + str.lower(close > open ? "Up" : "Down")\nlabel.new(bar_index, low, t + (str.contains(t, "5") ? "!" : "") + tostring(str.length(t)), when=bar_index < 60)\n', f"WITH {_b}, t AS (SELECT *, 'V=' || CAST(volume AS BIGINT) || '/' || bar_index || replace(CAST(CAST(volume AS BIGINT) AS VARCHAR), '1', '__') || CASE WHEN close > open THEN 'up' ELSE 'down' END AS t FROM b) SELECT symbol, bar_index AS k, bar_index * 1.0 AS x, round(low, 6) + 0.0 AS y, t || CASE WHEN contains(t, '5') THEN '!' ELSE '' END || length(t) AS text, '#8f8f98' AS color, NULL::VARCHAR AS \"textColor\", 'down' AS style, 10.0 AS size FROM t WHERE bar_index < 60", "labels")
 
 
 def failing(name: str, script: str) -> None:
