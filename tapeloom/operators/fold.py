@@ -93,20 +93,25 @@ _RECORD = {
 }
 
 
-def records(bars: DataFrame, source: str, what: str, options: dict | None = None) -> DataFrame:
-    """Rows of one kind of event record per symbol: trades, summary, open, lines, labels, boxes or panel."""
-    fields, rows_of = _RECORD[what]
-    names = [f.split()[0] for f in fields.split(", ")]
+def every_record(bars: DataFrame, source: str, options: dict | None = None) -> DataFrame:
+    """One row a symbol: an array of structs for each kind of event record, all from one pass."""
     kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
-    schema = pa.schema([("symbol", pa.string()), ("k", pa.int64()), *[(n, kinds[f.split()[1]]) for n, f in zip(names, fields.split(", "))]])
+    fields = {what: [f.split() for f in names.split(", ")] for what, (names, _) in _RECORD.items()}
+    types = {what: pa.list_(pa.struct([(n, kinds[k]) for n, k in of])) for what, of in fields.items()}
+    known = lambda v: None if isinstance(v, float) and v != v else v
 
     def run(table: pa.Table) -> pa.Table:
-        rows = rows_of(run_tape(source, tape_of(table), options))
-        symbol = table.column("symbol")[0].as_py()
-        columns = [[symbol] * len(rows), list(range(len(rows))), *[[r[n] for r in rows] for n in names]]
-        return pa.Table.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, schema)], schema=schema)
+        record = run_tape(source, tape_of(table), options)
+        rows = {what: [{n: known(r[n]) for n, _ in of} for r in _RECORD[what][1](record)] for what, of in fields.items()}
+        return pa.table({"symbol": pa.array([table.column("symbol")[0].as_py()], pa.string()), **{what: pa.array([rows[what]], types[what]) for what in fields}})
 
-    return bars.groupBy("symbol").applyInArrow(run, f"symbol string, k long, {fields}")
+    schema = ", ".join(f"{what} array<struct<{', '.join(f'{n}: {k}' for n, k in of)}>>" for what, of in fields.items())
+    return bars.groupBy("symbol").applyInArrow(run, f"symbol string, {schema}")
+
+
+def records(every: DataFrame, what: str) -> DataFrame:
+    """Rows of one kind of event record per symbol: trades, summary, open, markers, lines, labels, boxes or panel."""
+    return every.select("symbol", F.posexplode(what).alias("k", "x")).select("symbol", F.col("k").cast("long").alias("k"), "x.*")
 
 
 def long_form(bars: DataFrame, source: str, options: dict | None, columns: list[tuple[str, str, str, int]]) -> DataFrame:

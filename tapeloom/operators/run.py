@@ -90,7 +90,7 @@ class ScriptResult:
     def panel(self) -> DataFrame:
         """(symbol, k, title, value, text, precision): what each info panel shows on the last bar."""
         if self.native is None:
-            return fold.records(self.bars, self.source, "panel", self.options).drop("color")
+            return self.records("panel").drop("color")
         c = self.native
         shown = [(k, p) for k, p in enumerate(c.out.panel)]
         last = c.frame.df.groupBy("symbol").agg(*[F.max_by(F.struct(c.columns[f"panel_{k}"].alias("v")), "bar_index").getField("v").alias(f"v{k}") for k, _ in shown])
@@ -98,9 +98,18 @@ class ScriptResult:
         cells = [F.struct(F.lit(k).cast("long").alias("k"), F.lit(p["title"]).alias("title"), (F.col(f"v{k}") if kinds[f"v{k}"] == "double" else F.lit(None)).cast("double").alias("value"), (F.col(f"v{k}") if kinds[f"v{k}"] == "string" else F.lit(None)).cast("string").alias("text"), F.lit(p["precision"]).alias("precision")) for k, p in shown]
         return last.select("symbol", F.explode(F.array(*cells)).alias("x")).select("symbol", "x.*")
 
+    @cached_property
+    def _every(self) -> DataFrame:
+        return fold.every_record(self.bars, self.source, self.options)
+
+    def keep(self) -> ScriptResult:
+        """Holds the event records, one row a symbol, so that one pass over the bars serves all kinds that are asked for."""
+        self._every.persist()
+        return self
+
     def records(self, what: str) -> DataFrame:
-        """Event rows: trades, summary, open, lines, labels, boxes or panel (fold tier)."""
-        return fold.records(self.bars, self.source, what, self.options)
+        """Event rows: trades, summary, open, markers, lines, labels, boxes or panel (fold tier)."""
+        return fold.records(self._every, what)
 
     def trades(self) -> DataFrame:
         return self.records("trades")

@@ -62,8 +62,9 @@ def test_column_pruning_reaches_the_scan(spark, tapes, tmp_path):
 
 def test_record_tables(tapes):
     r = run_script(tapes, "strategy.buy(crossover(close, sma(close, 5)), 1)\nstrategy.sell(crossunder(close, sma(close, 5)), 1)\nline.new(0, close, 1, close, when=barstate.islast)\n", {"timezone": "UTC"})
-    assert r.tier == "fold"
+    assert r.tier == "fold" and r.keep() is r
     trades, summary = r.trades(), r.summary()
+    assert "InMemoryTableScan" in trades._jdf.queryExecution().executedPlan().toString()
     assert {x.symbol for x in summary.collect()} == {"wavy", "trend", "gaps", "single"}
     assert trades.count() == sum(int(x.trades) for x in summary.collect())
     assert r.records("lines").count() == 4
