@@ -16,12 +16,14 @@ group like others. An empty table gives no rows. Only doc_id and text are read,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm._shared import bucket, stored, table, text_key
+from tapeloom.llm._shared import bucket, runs, stored, table, text_key
 from tapeloom.llm.mixing import word_count
 
 HEAVY, PART, SALTS = 4096, 4096, 1024
@@ -54,11 +56,11 @@ def pack(sizes: np.ndarray, residual: np.ndarray, unit: np.ndarray) -> np.ndarra
 
 
 def _part(left: np.ndarray, unit: np.ndarray):
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("g", ignore_index=True)
-        sizes = d[["b", "t", "n"]].to_numpy(float)
-        share = sizes.sum(0) / np.maximum((left * unit).sum(0), 1e-9)  # of what is left in all shards
-        return pd.DataFrame({"g": d["g"], "shard": pack(sizes, left * share, unit).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, ("part",)):
+            sizes = np.column_stack([rows.column(c).to_numpy(zero_copy_only=False) for c in "btn"]).astype(float)
+            share = sizes.sum(0) / np.maximum((left * unit).sum(0), 1e-9)  # of what is left in all shards
+            yield pa.RecordBatch.from_arrays([rows.column("g"), pa.array(pack(sizes, left * share, unit), pa.int32())], ["g", "shard"])
 
     return run
 
@@ -89,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 16, heavy: int = HEAVY, part: int = PAR
     to = spark.createDataFrame([(u.unit, int(s)) for u, s in zip(units, placed)], "unit int, shard int")
     parts = max(1, -(-total.groups // part))
     light = groups.where(share <= 1 / heavy).withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)))
-    light = light.groupBy("part").applyInPandas(_part(left, unit), "g binary, shard int")
+    light = light.select("part", "g", "b", "t", "n").repartition("part").sortWithinPartitions("part", "g").mapInArrow(_part(left, unit), "g binary, shard int")
     columns = ("doc_id", "size", "text_crc32", "shard")
     d = pieces.join(F.broadcast(to), "unit").select(*columns).unionByName(d.join(light, "g").select(*columns))
     d = stored(d.withColumn("salt", bucket(name, SALTS)))
