@@ -8,8 +8,9 @@ and one word for each number of errors, advanced one character at a time.
 
 Only segments that different lines share are kept. All lines of such a segment are first compared with its hub, the
 line that meets most others: the original, where many edited copies of one line meet. Classes are then contracted,
-and only lines of different classes that still share a segment are compared in pairs. So a group of near copies costs
-links as it grows, not pairs, and no pair that the segments bring together is left out but those in one class already.
+and only lines of different classes that still share a segment are compared in pairs, those whose letter counts allow it.
+So a group of near copies costs links as it grows, not pairs, and no pair that the segments bring together is left out but
+those in one class already and those that can't be near.
 
 Exact copies collapse on the map side, so a common line costs what a rare one does. In a document's lines, all but the
 first occurrence (least doc_id, then line) of each class go. The edits allowed depend on the longer line: EDITS from
@@ -103,28 +104,33 @@ def within(padded: Column, y: Column, edits: int, pad: int = EDITS) -> Column:
 
 
 def letters(line: Column) -> Column:
-    """How often each of twelve common letters and the blank occur, in either case."""
-    return F.array(*[F.length(line) - F.length(F.translate(line, c, "")) for c in (" ", *(x + x.upper() for x in "etaoinsrhdlu"))])
+    """How often each letter, in either case, the blank, the comma, the point and all other characters occur."""
+    common = [" ", ",", ".", *(x + x.upper() for x in "abcdefghijklmnopqrstuvwxyz")]
+    return F.array(*[F.length(line) - F.length(F.translate(line, c, "")) for c in common], F.length(F.translate(line, "".join(common), "")))
+
+
+def may_be_near(p: Column, q: Column, edits: int) -> Column:
+    """Whether letter counts allow so few edits: an edit adds at most one character that the other lacks, either way."""
+    over = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda n, x: n + x)
+    return (over(p, q) <= edits) & (over(q, p) <= edits)
 
 
 def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, h, own) of every segment that a line files (own) or looks up; h: hash of the line."""
-    n, made = F.col("n"), [[], []]
+    """(key, h, own) of every segment that a line files (own) or looks up; h: hash of the line. A key's last bit tells own."""
+    n, none, made = F.col("n"), F.array().cast("array<bigint>"), []
     for e, on in ((edits, n >= least - edits), (min(edits, 1), (n >= SHORT) & (n < least))):  # long: with those just shorter than their partners
-        for to, keys in zip(made, _keys(F.col("line"), n, e)):
-            to += [F.when(on, k) for k in keys]
-    d = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
-    d = d.where(n >= min(SHORT, least - edits)).select("h", F.posexplode(F.array(*made[0], *made[1])).alias("at", "key"))
-    return d.where("key is not null").select("key", "h", (F.col("at") < len(made[0])).alias("own"))
+        own, looked = _keys(F.col("line"), n, e)
+        made.append(F.when(on, F.array(*[F.shiftleft(k, 1) + 1 for k in own], *[F.shiftleft(k, 1) for k in looked])).otherwise(none))
+    d = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).where(n >= min(SHORT, least - edits))
+    d = d.select("h", F.explode(F.concat(*made)).alias("cell")).where("cell is not null")
+    return d.select(F.shiftright("cell", 1).alias("key"), "h", (F.col("cell").bitwiseAND(1) == 1).alias("own"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, least: int) -> DataFrame:
     """The pairs (u, v) of text keys that are within the edits their lengths allow."""
-    # an edit moves at most two letter counts by one, so pairs whose counts differ by more need no comparison
     few = texts.select("k", "letters")
-    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.abs(p - q)), F.lit(0), lambda a, v: a + v)
     p = pairs.join(few.select(F.col("k").alias("u"), F.col("letters").alias("p")), "u").join(few.select(F.col("k").alias("v"), F.col("letters").alias("q")), "v")
-    p = stored(p.where(apart <= 2 * edits).select("u", "v"))
+    p = stored(p.where(may_be_near(F.col("p"), F.col("q"), edits)).select("u", "v"))
     both = p.join(texts.select(F.col("k").alias("u"), F.col("padded").alias("x")), "u").join(texts.select(F.col("k").alias("v"), F.col("chars").alias("y")), "v")
     short, long = F.least(F.size("x") - 2 * edits, F.size("y")), F.greatest(F.size("x") - 2 * edits, F.size("y"))
     near = lambda e: within(F.col("x"), F.col("y"), e, edits)
@@ -160,8 +166,10 @@ def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     # what the hubs leave apart; a hub has met all lines of its segments
     now = star.join(roots, star.k == roots.node, "left").select("key", "k", "own", F.coalesce("root", "k").alias("root"))
     split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("some")).where("low <> high and some").select("key")
-    now = stored(now.join(split, "key"))
-    rest = now.where("own").select("key", F.col("k").alias("o"), F.col("root").alias("o_root")).join(now.drop("own"), "key").where("root <> o_root")
+    now = stored(now.join(split, "key").join(texts.select("k", "letters"), "k"))
+    own = now.where("own").select("key", F.col("k").alias("o"), F.col("root").alias("o_root"), F.col("letters").alias("o_letters"))
+    apart = (F.col("root") != F.col("o_root")) & may_be_near(F.col("letters"), F.col("o_letters"), edits)
+    rest = own.join(now.drop("own").withColumnRenamed("key", "n_key"), (F.col("key") == F.col("n_key")) & apart)
     more = _verified(rest.select(*pair("k", "o")).distinct(), known, edits, least)
     return stored(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
