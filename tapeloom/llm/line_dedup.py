@@ -40,7 +40,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("trim(line) <> ''")
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _slots(edits: int) -> Column:
+    """(edits, i, less, shift, own) of a line's segments, and of the substrings it looks up in lines as long or shorter."""
+    made = [(edits, i, 0, 0, True) for i in range(edits + 1)]
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                if less or shift:  # its own segments stand for the unshifted ones of equal length
+                    made.append((edits, i, less, shift, False))
+    return F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(("edits", "i", "less", "shift", "own"), m)]) for m in made])
+
+
+def _segment(length: Column, i: Column, edits: Column) -> tuple[Column, Column]:
     """(start, length) of segment i of a line: even lengths, the longer ones last."""
     n = edits + 1
     short, long = F.floor(length / n), length % n
@@ -48,25 +59,6 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return short * i + F.greatest(long - (n - i), F.lit(0)), short + extra
 
 
-def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of a line's own segments, and of the substrings it looks up in lines as long or shorter."""
-
-    def key(of: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(of, F.lit(i), F.substring(line, (start + 1).cast("int"), size.cast("int")))
-
-    own = [key(length, i, *_segment(length, i, edits)) for i in range(edits + 1)]
-    looked = []
-    for less in range(edits + 1):
-        other = length - less
-        for i in range(edits + 1):
-            start, size = _segment(other, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:  # its own segments stand for the unshifted ones of equal length
-                    at = start + shift
-                    looked.append(F.when((other > edits) & (at >= 0) & (at + size <= length), key(other, i, at, size)))
-    return own, looked
-
-
 def within(padded: Column, y: Column, edits: int, pad: int = EDITS) -> Column:
     """Whether two strings are within `edits` edits: 8 bits per error count.
 
@@ -116,14 +108,20 @@ def may_be_near(p: Column, q: Column, edits: int) -> Column:
 
 
 def _cells(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(key, h, own) of every segment that a line files (own) or looks up; h: hash of the line. A key's last bit tells own."""
-    n, none, made = F.col("n"), F.array().cast("array<bigint>"), []
-    for e, on in ((edits, n >= least - edits), (min(edits, 1), (n >= SHORT) & (n < least))):  # long: with those just shorter than their partners
-        own, looked = _keys(F.col("line"), n, e)
-        made.append(F.when(on, F.array(*[F.shiftleft(k, 1) + 1 for k in own], *[F.shiftleft(k, 1) for k in looked])).otherwise(none))
+    """(key, h, own) of every segment that a line files (own) or looks up; h: hash of the line.
+
+    A line is dealt out over its slots before anything is cut from it, so one small expression serves all of them:
+    spelt out slot by slot, the generated method passes the 8,000 bytes up to which the JVM compiles.
+    """
+    n, long, short = F.col("n"), _slots(edits), _slots(min(edits, 1))
+    some = n >= least - edits  # long lines, and those just shorter than a long partner
+    slots = F.when(some & (n >= SHORT) & (n < least), F.concat(long, short)).when(some, long).otherwise(short)
     d = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).where(n >= min(SHORT, least - edits))
-    d = d.select("h", F.explode(F.concat(*made)).alias("cell")).where("cell is not null")
-    return d.select(F.shiftright("cell", 1).alias("key"), "h", (F.col("cell").bitwiseAND(1) == 1).alias("own"))
+    d = d.select("line", "n", "h", F.explode(slots).alias("s")).select("line", "n", "h", "s.*").withColumn("of", F.col("n") - F.col("less"))
+    start, size = _segment(F.col("of"), F.col("i"), F.col("edits"))
+    d = d.select("line", "n", "h", "edits", "of", "i", "own", (start + F.col("shift")).alias("at"), size.alias("size"))
+    d = d.where((F.col("of") > F.col("edits")) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
+    return d.select(F.xxhash64("of", "i", F.substring("line", (F.col("at") + 1).cast("int"), F.col("size").cast("int"))).alias("key"), "h", "own")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, least: int) -> DataFrame:

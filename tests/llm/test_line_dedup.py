@@ -116,3 +116,12 @@ def test_short_lines_against_all_pairs(spark):
     want = [(a, b) for a in lines for b in lines if a < b and distance(a, b) <= allowed(a, b)]
     got = classes(found(spark, lines), lines)
     assert got == classes(want, lines) and any({"Der eingeä erer.", "Der, eingeä erer."} <= c for c in got)
+
+
+def test_cells_are_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    cells = ld._cells(spark.createDataFrame([("a line of more than thirty-two characters",)], "line string"), ld.EDITS, ld.LEAST)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(cells._jdf.queryExecution().executedPlan())
+    sizes = [made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())]
+    assert sizes and max(sizes) <= 8000
